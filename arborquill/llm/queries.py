@@ -6,21 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, url_filter
+from . import bpe, media, toxicity, url_filter
 from .common import table
 
 
+def op2_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.decode_bpe(bpe.encode_bpe(table(spark, sf_dir, "documents")), digests=True)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_media(table(spark, sf_dir, "documents"))
     return media.media_digests(stored)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_coding": op2_bpe_coding,
     "op4_media_columns": op4_media_columns,
+    "op8_toxicity": op8_toxicity,
     "op10_url_filters": op10_url_filters,
 }
 
