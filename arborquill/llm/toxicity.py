@@ -3,8 +3,10 @@
 A word's bag is the word itself and its character n-grams (3 to 5, with ``<`` and ``>`` around it),
 hashed into ``BUCKETS``. A text's vector is the mean of the embeddings of all its words' bags; a
 linear softmax over two classes scores it. Embeddings and softmax are trained together by Adagrad,
-in numpy, on a bounded sample of labelled rows: ``SAMPLE`` rows, half of each class at most, those
-with the smallest hash of their id. A misspelling shares most n-grams with the word it's made from.
+in numpy, on a bounded sample of labelled rows: ``SAMPLE`` rows, a third of label 1 at most, those
+with the smallest hash of their id; the bias is then moved from the sample's share of label 1 to that
+of all rows learnt from. The mean counts ``PADDING`` zero vectors, too, so that a few unseen words
+can't decide a very short text. A misspelling shares most n-grams with the word it's made from.
 
 Scoring is linear in the text, so each distinct word's share of the score is computed once a task.
 
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import keyed, sliced
 
 #: Labelled rows to learn from, at most: the documented bound of the fit.
-SAMPLE = 4096
-BUCKETS, DIMENSIONS, EPOCHS, RATE, BATCH = 1 << 17, 8, 12, 0.5, 64
+SAMPLE = 6000
+BUCKETS, DIMENSIONS, EPOCHS, RATE, BATCH, DAMPING, PADDING = 1 << 17, 8, 8, 0.5, 64, 1e-5, 100
 SHORT, LONG = 3, 5
 THRESHOLD = 0.3
 #: Words in a task's cache, which starts anew beyond that.
@@ -68,7 +70,7 @@ def bags_of(rows: DataFrame) -> DataFrame:
                 found = np.array([i for w in text.split() for i in cache[w]], np.int32)
                 at, n = np.unique(found, return_counts=True)
                 buckets.append(at)
-                shares.append((n / max(1, len(found))).astype(np.float32))
+                shares.append((n / (PADDING + len(found))).astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["id", "label", "buckets", "shares"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -81,7 +83,7 @@ def fit(labels: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray],
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    squares, out2, bias2 = np.full(BUCKETS, 1e-8, np.float32), np.full_like(out, 1e-4), np.full(2, 1e-4, np.float32)
+    squares, out2, bias2 = np.full(BUCKETS, DAMPING, np.float32), np.full_like(out, 1e-4), np.full(2, 1e-4, np.float32)
     target = np.eye(2, dtype=np.float32)[labels]
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // BATCH)):
@@ -129,7 +131,7 @@ class Model:
                     x = cache[w] = (float(weights[b].sum()) if b else 0.0, len(b))
                 total += x[0]
                 n += x[1]
-            return float(1 / (1 + np.exp(-np.clip(bias + total / max(1, n), -60, 60))))
+            return float(1 / (1 + np.exp(-np.clip(bias + total / (PADDING + n), -60, 60))))
 
         return score
 
@@ -142,7 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from labelled rows whose crc32(id as text) mod 4 is not 2."""
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     named = named.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (bucket_of(F.col("id")) != 2))
-    chosen = [named.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for k in (0, 1)]
+    total = {r["label"]: r["count"] for r in named.groupBy("label").count().collect()}  # two rows at most
+    most = (sample - sample // 3, sample // 3)
+    chosen = [named.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most[k]) for k in (0, 1)]
     # sample rows of two numbers at most, so a broadcast is bounded
     picked = keyed(docs, id_col, text_col).join(F.broadcast(chosen[0].unionAll(chosen[1])), "id").select("id", "text", "label")
     found = bags_of(picked).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
@@ -151,7 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = float(truth.mean()) if len(truth) else 0.0
         return Model(np.zeros(BUCKETS), 60.0 if share == 1 else -60.0)
     split = lambda c: [np.asarray(x.values) for x in found.column(c)]
-    return Model(*fit(truth, split("buckets"), split("shares")))
+    weights, bias = fit(truth, split("buckets"), split("shares"))
+    shift = np.log(total[1] / total[0]) - np.log(truth.sum() / (len(truth) - truth.sum()))
+    return Model(weights, bias + float(shift))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
