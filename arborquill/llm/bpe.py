@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from .common import keyed, sliced
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of text in a block; words in a task's table, which starts anew beyond that.
-BLOCK, WORDS = 12 << 20, 1_500_000
+#: Bytes of text in a block; words in a task's table, which starts anew beyond that; words in a call.
+BLOCK, WORDS, ENCODED = 4 << 20, 400_000, 4096
 
 
 def default_path() -> str:
@@ -67,9 +68,14 @@ class WordTable:
         if new:
             first = len(self.rows)
             self.rows.update(zip(new, range(first, first + len(new)), strict=True))
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.uint32, int(self.ends[-1] - len(self.ids)))])
+            sizes, ids = array("q"), array("I")
+            for at in range(0, len(new), ENCODED):
+                for e in self.tokenizer.encode_batch_fast(new[at : at + ENCODED], add_special_tokens=False):
+                    coded = e.ids
+                    sizes.append(len(coded))
+                    ids.extend(coded)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.frombuffer(sizes, np.int64))])
+            self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
