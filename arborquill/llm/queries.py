@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, toxicity, url_filter
+from . import bpe, media, pii, secrets, toxicity, url_filter
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode_bpe(bpe.encode_bpe(table(spark, sf_dir, "documents")), digests=True)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_media(table(spark, sf_dir, "documents"))
     return media.media_digests(stored)
@@ -29,7 +37,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_bpe_coding": op2_bpe_coding,
+    "op3_secrets": op3_secrets,
     "op4_media_columns": op4_media_columns,
     "op8_toxicity": op8_toxicity,
     "op10_url_filters": op10_url_filters,
