@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, pii, secrets, toxicity, url_filter
+from . import bpe, line_dedup, media, pii, secrets, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -27,11 +27,19 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(stored)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -41,10 +49,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_coding": op2_bpe_coding,
     "op3_secrets": op3_secrets,
     "op4_media_columns": op4_media_columns,
+    "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.line_sql(),
     "op10_url_filters": url_filter.url_sql(),
 }
