@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, media, pii, secrets, simhash, toxicity, url_filter
+from . import bpe, decontaminate, line_dedup, media, pii, secrets, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(stored)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digests(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_coding": op2_bpe_coding,
     "op3_secrets": op3_secrets,
     "op4_media_columns": op4_media_columns,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
