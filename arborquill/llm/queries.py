@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, media, pii, secrets, simhash, toxicity, url_filter
+from . import bpe, decontaminate, line_dedup, media, pii, secrets, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(stored)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_coding": op2_bpe_coding,
     "op3_secrets": op3_secrets,
     "op4_media_columns": op4_media_columns,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": substring_dedup.substring_sql(),
     "op9_line_dedup": line_dedup.line_sql(),
     "op10_url_filters": url_filter.url_sql(),
 }
