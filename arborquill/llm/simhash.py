@@ -111,5 +111,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, that are the first of their component: that of the least id (null ids
+    last), of rows of one id that of the least text hash, and one of equal rows."""
+    key = lambda x: F.struct(x.isNull().alias("none"), x.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
+    found = near_duplicates(df.select(key(F.col(f"`{id_col}`")).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    stay = found.where(F.col("id") == F.col("component_id")).select(F.struct("id.*").alias("key_")).distinct()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), key(F.col(f"`{id_col}`")).alias("key"))
+    kept = rows.join(stay, F.col("key") == F.col("key_"), "left_semi").dropDuplicates(["key"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
+
+
 def simhash_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return near_duplicates(df, id_col, text_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
