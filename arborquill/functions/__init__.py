@@ -1 +1 @@
-
+"""Node predicates, regular expressions and statistics as column expressions."""

@@ -1 +1 @@
-
+"""The pattern language: its syntax tree and parser."""

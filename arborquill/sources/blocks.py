@@ -23,7 +23,7 @@ def pairs(cell: str) -> str:
 
 def fault(c: str) -> str:
     """SQL: what's wrong with the cells of a token line, or null; in the order in which cells are read."""
-    bad_pair = lambda cell: f"element_at(filter(split({cell}, '[|]', -1), p -> instr(p, '=') = 0), 1)"
+    bad_pair = lambda cell: f"try_element_at(filter(split({cell}, '[|]', -1), p -> instr(p, '=') = 0), 1)"
     missing = lambda i: f"WHEN size({c}) <= {i} THEN 'Missing field {i}'"
     return " ".join(
         [
@@ -59,7 +59,7 @@ def parse(records: DataFrame, column: str = "value") -> DataFrame:
     word = "named_struct(" + ", ".join(f"'{k}', cast({value[k]} AS {kind})" for k, kind in WORD_FIELDS.items()) + ")"
     out = out.withColumns(
         {
-            "text": F.expr("element_at(filter(pairs, p -> p.k = 'text'), -1).v"),
+            "text": F.expr("try_element_at(filter(pairs, p -> p.k = 'text'), -1).v"),
             "metadata": F.expr(f"map_from_entries({last})"),
             "words": F.expr(f"CASE WHEN size(faults) = 0 THEN transform(filter(transform(cells, (c, i) -> named_struct('i', i, 'c', c)), t -> instr(t.c[0], '-') = 0), (t, i) -> {word}) END"),
         }
