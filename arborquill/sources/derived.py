@@ -35,9 +35,10 @@ def derived_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         'upos', CASE l_returnflag WHEN 'A' THEN 'VERB' WHEN 'N' THEN 'NOUN' ELSE 'ADP' END, 'xpos', p_type,
         'feats', {feats}, 'deprel', {deprel}, 'misc', {misc})"""
     found = both.groupBy(F.col("l_orderkey").alias("sent_id")).agg(F.array_sort(F.collect_list(F.expr(word))).alias("w"))
-    found = found.withColumn("place", F.expr("transform(array_sort(transform(w, x -> named_struct('k', x.k, 'idx', x.idx))), y -> y.idx)"))
-    words = """transform(w, x -> named_struct('idx', x.idx, 'word_id', x.idx, 'token_id', x.idx + 1, 'form', x.form, 'lemma', x.lemma, 'upos', x.upos, 'xpos', x.xpos,
-        'feats', x.feats, 'head', get(place, x.head_k), 'deprel', x.deprel, 'misc', x.misc))"""
+    place = "transform(array_sort(transform(w, x -> named_struct('k', x.k, 'idx', x.idx))), y -> y.idx)"
+    # bound to a lambda's variable, the places are found once a sentence
+    words = f"""transform(array({place}), place -> transform(w, x -> named_struct('idx', x.idx, 'word_id', x.idx, 'token_id', x.idx + 1, 'form', x.form, 'lemma', x.lemma, 'upos', x.upos, 'xpos', x.xpos,
+        'feats', x.feats, 'head', get(place, x.head_k), 'deprel', x.deprel, 'misc', x.misc)))[0]"""
     return complete(found.select("sent_id", F.expr(words).alias("words")).withColumns({"file_no": F.lit(0), "sent_no": F.col("sent_id").cast("int")}))
 
 
