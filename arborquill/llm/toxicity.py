@@ -10,7 +10,7 @@ can't decide a very short text. A misspelling shares most n-grams with the word
 
 Scoring is linear in the text, so each distinct word's share of the score is computed once a task.
 
-Edge cases: a null or empty text has the score of the softmax's bias alone; without labelled rows of
+Edge cases: a null or empty text has the share of label 1 as its score; without labelled rows of
 both classes every score is the share of label 1 (0 without any). Null labels are no labels. Rows are
 independent, so repeated rows score alike; if a label is repeated, its row counts twice.
 """
@@ -78,12 +78,14 @@ def bags_of(rows: DataFrame) -> DataFrame:
 
 
 def fit(labels: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray], seed: int = 7) -> tuple[np.ndarray, float]:
-    """(each bucket's logit, bias), after joint training of embeddings and softmax."""
+    """(each bucket's logit, bias), after joint training of embeddings and softmax; the bias stays at the
+    labels' odds, so that a text without words has their share as its score."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    squares, out2, bias2 = np.full(BUCKETS, DAMPING, np.float32), np.full_like(out, 1e-4), np.full(2, 1e-4, np.float32)
+    odds = np.log(labels.mean() / (1 - labels.mean()))
+    bias = np.array([-odds / 2, odds / 2], np.float32)
+    squares, out2 = np.full(BUCKETS, DAMPING, np.float32), np.full_like(out, 1e-4)
     target = np.eye(2, dtype=np.float32)[labels]
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // BATCH)):
@@ -100,15 +102,13 @@ def fit(labels: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray],
             p /= p.sum(axis=1, keepdims=True)
             wrong = p - target[rows]
             back = wrong @ out.T
-            g_out, g_bias = mean.T @ wrong / len(rows), wrong.mean(axis=0)
+            g_out = mean.T @ wrong / len(rows)
             distinct, where = np.unique(at, return_inverse=True)
             step = np.stack([np.bincount(where, a * back[of, k]) for k in range(DIMENSIONS)], axis=1).astype(np.float32)
             squares[distinct] += (step**2).mean(axis=1)
             table[distinct] -= RATE * step / np.sqrt(squares[distinct])[:, None]
             out2 += g_out**2
-            bias2 += g_bias**2
             out -= 0.1 * g_out / np.sqrt(out2)
-            bias -= 0.1 * g_bias / np.sqrt(bias2)
     return (table @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
