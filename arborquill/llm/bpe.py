@@ -106,9 +106,9 @@ def encode_bpe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def pieces_of(path: str) -> pa.Array:
+def pieces_of(path: str, tokenizer=None) -> pa.Array:
     """The piece of each id; null where there's none."""
-    tokenizer = load(path)
+    tokenizer = tokenizer or load(path)
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     pieces: list[str | None] = [None] * (max(vocabulary.values()) + 1)
     for piece, i in vocabulary.items():
@@ -130,8 +130,37 @@ def decode_lists(lists: pa.ListArray, pieces: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), found), " ")
 
 
-def decode_bpe(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None, digests: bool = False) -> DataFrame:
-    """id_col and text; with ``digests`` n_tokens, ids_sha256 and decoded_sha256 instead of the text."""
+def digests_of(lists: pa.ListArray, pieces: pa.Array) -> list[pa.Array]:
+    """n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers) and decoded_sha256."""
+    text = decode_lists(lists, pieces)
+    flat, bounds = np.asarray(lists.flatten()).astype("<u4"), np.asarray(lists.offsets)
+    bounds = bounds - bounds[0]
+    coded = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    plain = [hashlib.sha256(x.as_buffer()).hexdigest() for x in text.cast(pa.binary())]
+    return [pa.array(np.diff(bounds).astype(np.int64)), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
+
+
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id_col and the digests of encoding and then decoding, in one pass: the ids don't leave the task."""
+    path = path or default_path()
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        words = WordTable(path)
+        pieces = pieces_of(path, words.tokenizer)
+        for batch in sliced(batches, BLOCK // 2):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *digests_of(words.encode(batch.column(1)), pieces)], ["id", *(x.split()[0] for x in DIGESTS.split(", "))])
+        pa.default_memory_pool().release_unused()
+
+    rows = keyed(df, id_col, text_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, {DIGESTS}").withColumnRenamed("id", id_col)
+
+
+def decode_bpe(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """id_col and text, through a join of the ids with the vocabulary's pieces. A null list has none."""
     path = path or default_path()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -141,18 +170,8 @@ def decode_bpe(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
                 batch = whole.slice(at, 512)
                 lists = batch.column(1)
                 lists = pc.if_else(lists.is_valid(), lists, pa.scalar([], lists.type)) if lists.null_count else lists
-                text = decode_lists(lists, pieces)
-                if not digests:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), text], ["id", "text"])
-                    continue
-                flat, bounds = np.asarray(lists.flatten()).astype("<u4"), np.asarray(lists.offsets)
-                bounds = bounds - bounds[0]
-                sizes = np.diff(bounds)
-                coded = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                plain = [hashlib.sha256(x.as_buffer()).hexdigest() for x in text.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(coded), pa.array(plain)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), decode_lists(lists, pieces)], ["id", "text"])
 
     rows = df.selectExpr(f"`{id_col}` AS id", f"`{ids_col}` AS ids")
     kind = rows.schema["id"].dataType.simpleString()
-    out = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "text string"
-    return rows.mapInArrow(run, f"id {kind}, {out}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)

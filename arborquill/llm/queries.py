@@ -15,7 +15,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.decode_bpe(bpe.encode_bpe(table(spark, sf_dir, "documents")), digests=True)
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
