@@ -78,6 +78,27 @@ class Treebank:
         nested = nest(words, sentences)
         return cls(nested if sentences is None or not flat else sentences, words if flat else None, flat=flat)
 
+    @classmethod
+    def from_parquet(cls, path: str, spark: SparkSession | None = None) -> Treebank:
+        """From sentences that ``save`` wrote: of the words only the fields that a pattern names are read."""
+        return cls(session(spark).read.parquet(path))
+
+    @classmethod
+    def from_table(cls, words: str, sentences: str, spark: SparkSession | None = None) -> Treebank:
+        """From tables that ``save_tables`` wrote: bucketed by sentence, their joins deal nothing out again."""
+        spark = session(spark)
+        return cls(spark.table(sentences), spark.table(words), flat=True)
+
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        """The sentences as Parquet."""
+        self.sentences.write.mode(mode).parquet(path)
+
+    def save_tables(self, words: str, sentences: str, buckets: int, mode: str = "errorifexists") -> None:
+        """Flat words and the sentences without them, as tables bucketed and sorted by sent_id."""
+        for table, rows_ in ((words, self.words), (sentences, self.sentences.drop("words"))):
+            dealt = rows_.repartition(buckets, "sent_id")
+            dealt.write.mode(mode).bucketBy(buckets, "sent_id").sortBy("sent_id").saveAsTable(table)
+
     @classmethod
     def from_stream(cls, path: str, spark: SparkSession | None = None) -> Treebank:
         """From a folder into which CoNLL-U files fall: its sentences are a streaming DataFrame."""
