@@ -12,17 +12,24 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import SENTENCES
+from ..schema import PAIRS, SENTENCES, WORD_FIELDS
 from .lines import Fault, root_of, sentences
 
 FAILFAST, PERMISSIVE = "FAILFAST", "PERMISSIVE"
 WITH_ERROR = SENTENCES + ", _error string"
 GZIP = b"\x1f\x8b"
+#: Sentences that go to Spark at once.
+BATCH = 500
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string()), PAIRS: pa.list_(pa.struct([("k", pa.string()), ("v", pa.string())]))}
+COLUMNS = [part.split(" ", 1) for part in WITH_ERROR.split(", ")]
+KINDS = [ARROW[kind] if kind in ARROW else pa.list_(pa.struct([(k, ARROW[v]) for k, v in WORD_FIELDS.items()])) for _, kind in COLUMNS]
 
 
 def open_bytes(path: str):
@@ -55,6 +62,15 @@ def rows(lines, file_no: int, path: str | None) -> Iterator[tuple]:
             yield (*key, found.text, found.metadata, len(found.words), root_of(found.words), found.words, None)
 
 
+def batches(found: Iterable[tuple], with_error: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of ``WITH_ERROR`` in Arrow batches, without the error if not asked for."""
+    n = len(COLUMNS) - (not with_error)
+    for part in itertools.batched(found, BATCH):
+        columns = list(zip(*part, strict=True))[:n]
+        arrays = [pa.array([None if x is None else list(x.items()) for x in c] if isinstance(kind, pa.MapType) else c, kind) for c, kind in zip(columns, KINDS, strict=False)]
+        yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in COLUMNS[:n]])
+
+
 class FilePartition(InputPartition):
     def __init__(self, file_no: int, path: str):
         self.file_no, self.path = file_no, path
@@ -70,15 +86,17 @@ class ConlluReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [FilePartition(i, p) for i, p in enumerate(self.paths)] or [FilePartition(0, "")]
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        if not partition.path:
-            return
+    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+        if partition.path:
+            yield from batches(self.found(partition), self.mode == PERMISSIVE)
+
+    def found(self, partition: FilePartition) -> Iterator[tuple]:
         try:
             with open_lines(partition.path) as lines:
                 for row in rows(lines, partition.file_no, partition.path):
                     if row[-1] is not None and self.mode == FAILFAST:
                         raise ValueError(f"Parse error: {row[-1]}")
-                    yield row if self.mode == PERMISSIVE else row[:-1]
+                    yield row
         except (OSError, EOFError) as e:
             if self.mode == FAILFAST:
                 raise
