@@ -24,16 +24,26 @@ def keyed(df: DataFrame, id_col: str, text_col: str, binary: bool = False) -> Da
     return df.select(F.col(id_col).alias("id"), (text.cast("binary") if binary else text).alias("text"))
 
 
+#: Spark's setting by which an execution's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
 
-    Only where no folder is configured (tests) a temporary one is used.
+    The shuffle files behind it are then of no use and go at once. Only where no folder is configured
+    (tests) a temporary one is used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting counts where a DataFrame is made
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

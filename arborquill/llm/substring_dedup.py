@@ -234,7 +234,7 @@ def changes(rows: DataFrame, base: DataFrame, with_text: bool = False, broadcast
     anchors = places.join(again, "h").groupBy("id", "mark").agg(F.collect_set("pos").alias("anchors"))
     texts = durable(joined(rows, anchors).dropDuplicates(["id", "mark"]))
     found = candidate_windows(texts)
-    first = found.groupBy("h", "g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("h", "g", "least")
+    first = durable(found.groupBy("h", "g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("h", "g", "least"))
     later = found.join(first, ["h", "g"]).where("id > least").groupBy("id", "mark").agg(F.collect_set("pos").alias("starts"))
     return removed(joined(texts.drop("anchors"), later), with_text)
 
