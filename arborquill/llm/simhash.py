@@ -9,7 +9,7 @@ masks keeps those bits whose vector has odd parity with the mask's number. The v
 collide: no pair within the radius is lost. Tables hold distinct fingerprints, so copies add nothing.
 
 Inside a bucket no pairs are made. Each fingerprint that shares a bucket names itself and its
-neighbours at one flipped bit, within the bits that the mask leaves out; two that are at most two bits
+neighbours at one flipped bit, within the bits that those masks leave out; two that are at most two bits
 apart name a common point, and two that name a common point are at most two bits apart. So grouping by
 point and linking each to the point's least fingerprint gives the same components from edges linear in
 the bucket's size. (At radius 1 the points are the neighbours that are themselves fingerprints.)
@@ -87,15 +87,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))))
     rows = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
     shared = rows.groupBy("t", "key").count().where("count > 1").select("t", "key")
-    met = rows.join(shared, ["t", "key"])
-    free = F.array(*(F.array(*(F.lit(signed(1 << b)) for b in range(BITS) if not m >> b & 1)) for m in masks(radius)))
+    left_out = F.array(*(F.lit(~m) for m in masks(radius)))
+    met = rows.join(shared, ["t", "key"]).groupBy("fp").agg(F.bit_or(F.element_at(left_out, F.col("t") + 1)).alias("free"))
+    flips = F.expr("transform(filter(sequence(0, 63), b -> (shiftright(free, b) & 1L) = 1L), b -> fp ^ shiftleft(1L, b))")
     if radius == 1:
-        # points at one flip from one of the two only: the smaller names them, the other is one
-        flips = F.transform(F.element_at(free, F.col("t") + 1), lambda f: F.col("fp").bitwiseXOR(f))
+        # points at one flip from one of the two only: the one names them, the other is one
         named = met.select("fp", F.explode(flips).alias("b"))
         return named.join(fps.select(F.col("fp").alias("b")), "b", "left_semi").select(F.col("fp").alias("a"), "b")
-    points = F.concat(F.array("fp"), F.transform(F.element_at(free, F.col("t") + 1), lambda f: F.col("fp").bitwiseXOR(f)))
-    named = met.select("fp", F.explode(points).alias("point"))
+    named = met.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
     least = named.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top")
     return named.join(least, "point").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
 
