@@ -230,7 +230,8 @@ def changes(rows: DataFrame, base: DataFrame, with_text: bool = False, broadcast
     small = shared.count() <= broadcast
     places = anchor_places(rows).join(F.broadcast(shared) if small else shared, "h")
     places = durable(joined(places, reps))
-    again = places.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("h")
+    # written out, so that the join deals both sides anew and can split a hot anchor
+    again = durable(places.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("h"))
     anchors = places.join(again, "h").groupBy("id", "mark").agg(F.collect_set("pos").alias("anchors"))
     texts = durable(joined(rows, anchors).dropDuplicates(["id", "mark"]))
     found = candidate_windows(texts)
