@@ -2,7 +2,7 @@
 
 The derived treebank is built from $BENCH_SF_DIR and written as Parquet first ("ingest", one shuffle);
 patterns then run over the stored sentences, as they would over a corpus that was read once. Each time
-is the least of three runs, every result row being produced, none collected.
+is the least of two runs, every result row being produced, none collected.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from arborquill.sources.derived import derived_sentences, to_conllu
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = 3
+RUNS = 2
 
 PATTERNS = {
     "node": 'MATCH { V [upos="VERB"]; }',
