@@ -8,13 +8,18 @@ document form an alignment; it counts if its slots are consistent: equal values
 a type stand for equal values in the document, and different for different. So a re-parameterised
 question is caught, and a chance meeting of sentence frames is not. An item leaks into a document if
 consistent alignments cover at least ``COVER`` of its words. Windows with fewer than ``LITERALS``
-words that aren't placeholders match too much and aren't searched.
+words that aren't placeholders match too much and aren't searched as templates.
+
+Plain windows, of the same words without placeholders, are searched besides: all of them, and the whole
+text of an item shorter than a window. So copies that are verbatim but for letter case are found however
+many numbers and names an item has, and whatever stands before it. Their places join the alignment of the
+template windows; if the two together aren't consistent, those of the templates count alone.
 
 The items are the stated query set: blocks of at most ``BLOCK`` windows, each joined by one pass over
 all documents, whose rows aren't shuffled. A block's size is fixed, so what each task holds is bounded.
 
 Edge cases: null and empty texts have no words and match nothing; items shorter than ``SHORTEST`` words
-are not searched; repeated items and rows are each reported; null ids are kept. Empty tables give no
+are found by their plain words only; repeated items and rows are each reported; null ids are kept. Empty tables give no
 rows.
 """
 
@@ -84,11 +89,16 @@ class Words(dict):
 
 def template(text: str, cache: Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(hash of each template word, its class, the words); words that are all punctuation go."""
+    return views(text, cache)[:3]
+
+
+def views(text: str, cache: Words) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """As :func:`template`, and the hash of each word's plain form."""
     if len(cache) > CACHE:
         cache.start()
     words = text.split()
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int8), []
+        return np.empty(0, np.uint64), np.empty(0, np.int8), [], np.empty(0, np.uint64)
     rows = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
     k = np.frombuffer(cache.k, np.int8)[rows]
     if k.min() < 0:
@@ -96,13 +106,13 @@ def template(text: str, cache: Words) -> tuple[np.ndarray, np.ndarray, list[str]
         words = [w for w, x in zip(words, k.tolist(), strict=True) if x >= 0]
         k = k[k >= 0]
     if not len(k):
-        return np.empty(0, np.uint64), k, []
+        return np.empty(0, np.uint64), k, [], np.empty(0, np.uint64)
     h, e = np.frombuffer(cache.h, np.uint64)[rows], np.frombuffer(cache.e, np.int8)[rows]
     k[1:][(k[1:] == UNIT) & (k[:-1] != NUM)] = PLAIN
     k[1:][(k[1:] == NAME) & (e[:-1] > 0)] = PLAIN
     if k[0] in (UNIT, NAME):
         k[0] = PLAIN
-    return np.where(k == PLAIN, h, MARK[k]), k, words
+    return np.where(k == PLAIN, h, MARK[k]), k, words, h
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,47 +129,53 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 class Items:
-    """A block of items with an index of their windows by size and hash."""
+    """A block of items with indexes of their template and plain windows by size and hash."""
 
     def __init__(self, rows: list[tuple[object, str]]):
         cache = Words()
-        self.items = [(i, *template(t or "", cache)) for i, t in rows]
-        found: dict[int, list] = defaultdict(list)
-        for at, (_, h, k, _) in enumerate(self.items):
+        self.items = [(i, *views(t or "", cache)) for i, t in rows]
+        found: dict[tuple[bool, int], list] = defaultdict(list)
+        for at, (_, h, k, _, plain) in enumerate(self.items):
             size = min(WINDOW, len(h))
             if size >= SHORTEST:
                 hashes, enough = windows(h, k, size)
-                found[size] += [(int(x), at, q) for q, x in enumerate(hashes) if enough[q]]
+                found[False, size] += [(int(x), at, q) for q, x in enumerate(hashes) if enough[q]]
+            if size:
+                found[True, size] += [(int(x), at, q) for q, x in enumerate(windows(plain, k, size)[0])]
         self.index = {}
-        for size, rows_ in found.items():
+        for kind, rows_ in found.items():
             rows_.sort()
-            self.index[size] = (np.array([r[0] for r in rows_], np.uint64), [r[1:] for r in rows_])
+            self.index[kind] = (np.array([r[0] for r in rows_], np.uint64), [r[1:] for r in rows_])
 
     def leaks(self, text: str, cache: Words) -> list[tuple[object, int, int, int, bool]]:
         """(item, its words, covered words, changed slots, verbatim) for each item that leaks into a text."""
-        hashes, kinds, words = template(text, cache)
-        aligned: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for size, (keys, where) in self.index.items():
-            seen, _ = windows(hashes, kinds, size)
+        hashes, kinds, words, bare = views(text, cache)
+        aligned: dict[tuple[int, int], list[tuple[bool, int, int]]] = defaultdict(list)
+        for (plain, size), (keys, where) in self.index.items():
+            seen, _ = windows(bare if plain else hashes, kinds, size)
             if not len(keys):
                 continue
             lo = np.minimum(np.searchsorted(keys, seen, "left"), len(keys) - 1)
             for p in np.flatnonzero(keys[lo] == seen).tolist():
                 for r in range(int(lo[p]), int(np.searchsorted(keys, seen[p], "right"))):
                     at, q = where[r]
-                    aligned[at, p - q].append((q, size))
+                    aligned[at, p - q].append((plain, q, size))
         covered: dict[int, set[int]] = defaultdict(set)
         changed: dict[int, int] = defaultdict(int)
         for (at, shift), spots in aligned.items():
-            _, own, classes, plain = self.items[at]
-            places = sorted({q + i for q, size in spots for i in range(size)})
-            places = [q for q in places if own[q] == hashes[q + shift]]  # against chance collisions
-            if (n := self.consistent(places, shift, classes, plain, words)) is not None:
-                covered[at].update(places)
-                changed[at] = max(changed[at], n)
+            _, own, classes, plain, own_bare = self.items[at]
+            typed = {q + i for p, q, size in spots if not p for i in range(size)}
+            equal = {q + i for p, q, size in spots if p for i in range(size)}
+            typed = {q for q in typed if own[q] == hashes[q + shift]}  # against chance collisions
+            equal = {q for q in equal if own_bare[q] == bare[q + shift]}
+            for places in [typed | equal, typed] if typed and not equal <= typed else [typed | equal]:
+                if (n := self.consistent(sorted(places), shift, classes, plain, words)) is not None:
+                    covered[at].update(places)
+                    changed[at] = max(changed[at], n)
+                    break
         out = []
         for at, places in covered.items():
-            item, own, _, _ = self.items[at]
+            item, own, _, _, _ = self.items[at]
             if len(places) >= COVER * len(own):
                 out.append((item, len(own), len(places), changed[at], not changed[at] and len(places) == len(own)))
         return out

@@ -92,3 +92,24 @@ def test_empty_tables(spark):
     assert d.find_leaks(docs.limit(0), items).count() == d.find_leaks(docs, items.limit(0)).count() == 0
     assert d.find_leaks(docs, items.limit(0)).schema == d.find_leaks(docs, items).schema
     assert d.drop_leaking(docs, items.limit(0)).count() == 1
+
+
+DENSE = ["Compute 12 + 35 * 4 - 18 / 6 + 27 * 3 - 41 and 15 % of 80.", "Yesterday Anna Keller met Boris Novak in Geneva and Clara Rossi joined Anna Keller in Milan."]
+
+
+def leaking(text, *items):
+    return {r[0] for r in d.Items(list(enumerate(items))).leaks(text, d.Words())}
+
+
+@pytest.mark.parametrize("item", [*DENSE, "too short", "Berlin"])
+def test_verbatim_copies_of_dense_and_short_items(spark, item):
+    docs = spark.createDataFrame([(1, f"Before it. {item} And after."), (2, "Before it. And after.")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["verbatim"]) for r in d.find_leaks(docs, items).collect()] == [(1, True)]
+    assert [r["doc_id"] for r in d.drop_leaking(docs, items).collect()] == [2]
+
+
+def test_renamed_templates_count_beside_unchanged_dense_parts():
+    """What plain windows add never takes a leak away: here Boston stays in the dense end only."""
+    item = "the slow morning train leaves the old station of Boston every day and 1 2 3 4 5 6 Boston 7 8 9"
+    assert leaking(item.replace("Boston", "Lisbon", 1), item) == {0}
