@@ -113,3 +113,12 @@ def test_renamed_templates_count_beside_unchanged_dense_parts():
     """What plain windows add never takes a leak away: here Boston stays in the dense end only."""
     item = "the slow morning train leaves the old station of Boston every day and 1 2 3 4 5 6 Boston 7 8 9"
     assert leaking(item.replace("Boston", "Lisbon", 1), item) == {0}
+
+
+def test_letter_case_and_what_stands_before_do_not_hide_copies(spark):
+    short = "What is the capital of France?"
+    names = "Yesterday morning Anna Keller and Boris Novak took the fast train to Geneva, where Clara Rossi met Anna Keller again."
+    rows = [(1, "a quiz for all of you\n" + short), (2, "a quiz. " + short), (3, "so we ask " + short.upper()), (4, ITEM.lower()), (5, names.lower()), (6, "What is the price of bread?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, short), (2, ITEM), (3, names)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["verbatim"]) for r in d.find_leaks(docs, items).collect()} == {(1, 1, True), (2, 1, True), (3, 1, True), (4, 2, True), (5, 3, True)}
