@@ -10,13 +10,14 @@ hash of the ``WINDOW - PERIOD + 1`` words there, at both, and only 6 of 31 posit
 1. Texts with the same words as one of a smaller id go whole, if they hold a window. They take no
    further part: each of their windows also starts in that other text.
 2. Anchors are counted; those in one text only, most of them, are dropped. The rest are joined back to
-   their places (broadcast if they are at most ``BROADCAST``, by a shuffle else) and counted again
-   among the texts left.
+   their places, by one shuffle of all places at any size, and counted again among the texts left.
 3. Extension: in the texts that share anchors, every window over a shared anchor is hashed (128 bits).
    Windows also found in a text of a smaller id cover their words, and covered words are removed.
 
 Counts are summed before their shuffle, and no step pairs texts: a passage in a third of all texts is
-one key of a sum, and of a join that adaptive execution splits.
+one key of a sum, and of a join that adaptive execution splits. Nothing that grows with the input is
+broadcast by this module. What a join meets is written out before, so that the join deals both sides anew
+and may split a hot key, which it couldn't below a sum of the same key.
 
 Edge cases: null and empty texts have no words; texts of fewer words than a window stay whole. A null id
 is neither smaller nor larger than any, so it removes nothing and keeps all its words. Rows of equal id
@@ -39,8 +40,6 @@ from .common import durable, sliced
 WINDOW, PERIOD = 50, 31
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-#: Hashes (of 8 bytes) broadcast at most; beyond, they're joined by a shuffle.
-BROADCAST = 2_000_000
 WORDS = 600_000
 ODD = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -222,15 +221,20 @@ def joined(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, ["id", "mark"])
 
 
-def changes(rows: DataFrame, base: DataFrame, with_text: bool = False, broadcast: int = BROADCAST) -> DataFrame:
+def with_copies(base: DataFrame) -> DataFrame:
+    """Of summaries: id, mark, n, sha, copy (the text of a smaller id has the same words) and leads (it
+    may stand for all of these)."""
+    least = durable(base.groupBy("s1", "s2").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("s1", "s2", "least"))
+    copy = F.coalesce((F.col("n") >= WINDOW) & (F.col("id") > F.col("least")), F.lit(False))
+    leads = (F.col("n") >= WINDOW) & F.col("id").isNotNull() & ~copy
+    return base.join(least.hint("merge"), ["s1", "s2"], "left").select("id", "mark", "n", "sha", copy.alias("copy"), leads.alias("leads"))
+
+
+def changes(rows: DataFrame, base: DataFrame, with_text: bool = False) -> DataFrame:
     """id, mark, n_removed and kept of the texts that lose words, but for whole copies."""
-    reps = base.where(F.col("n") >= WINDOW).groupBy("s1", "s2").agg(F.min("id").alias("id"))
-    reps = base.join(reps, ["s1", "s2", "id"], "left_semi").select("id", "mark").distinct()
+    reps = base.where("leads").select("id", "mark").distinct()
     shared = durable(anchor_hashes(rows).groupBy("h").count().where("count > 1").select("h"))
-    small = shared.count() <= broadcast
-    places = anchor_places(rows).join(F.broadcast(shared) if small else shared, "h")
-    places = durable(joined(places, reps))
-    # written out, so that the join deals both sides anew and can split a hot anchor
+    places = durable(joined(anchor_places(rows).join(shared.hint("merge"), "h"), reps))
     again = durable(places.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("h"))
     anchors = places.join(again, "h").groupBy("id", "mark").agg(F.collect_set("pos").alias("anchors"))
     texts = durable(joined(rows, anchors).dropDuplicates(["id", "mark"]))
@@ -240,19 +244,17 @@ def changes(rows: DataFrame, base: DataFrame, with_text: bool = False, broadcast
     return removed(joined(texts.drop("anchors"), later), with_text)
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_words, n_removed and kept_sha256 (of the kept words joined by one space)."""
     rows = marked(df, id_col, text_col)
-    base = durable(summaries(rows))
-    least = base.groupBy("s1", "s2").agg(F.min("id").alias("least"))
-    out = base.join(least, ["s1", "s2"]).join(changes(rows, base, broadcast=broadcast), ["id", "mark"], "left")
-    copy = F.coalesce((F.col("n") >= WINDOW) & (F.col("id") > F.col("least")), F.lit(False))
+    base = durable(with_copies(durable(summaries(rows))))
+    out = base.join(changes(rows, base), ["id", "mark"], "left")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_words"),
-        F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(none)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), F.lit(none)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
 
 
