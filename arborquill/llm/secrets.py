@@ -6,7 +6,7 @@ parts co-occur: an interval join of the parts, in which two meet if at most ``SC
 between them. A weak identifier needs a secret, a weak secret an identifier, and an endpoint both;
 base matches serve as parts, too. A scope never leaves its text, so the join is a merge: one sweep
 forward over the sorted intervals with the furthest end of each part, one backward with the nearest
-start. It makes no pairs and needs no shuffle.
+start. It makes no pairs and needs no shuffle, and its time is nearly linear in a text's matches.
 
 Edge cases: a null or empty text has no spans; of weak candidates that overlap each other or a base
 match, the base and then the earlier, longer one stays. Rows are independent, repeated rows get the
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed
-from .spans import apart, literal, matches, places
+from .spans import apart, disjoint, furthest, let, literal, matches, nearest, places
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"(?:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?"
@@ -37,7 +37,7 @@ WEAK = {
     "endpoint": r"(?i)(?<![A-Za-z0-9+.-])(?:[a-z][a-z0-9+.-]{1,12}://[^\s<>\x22\x27]+|(?:host|endpoint|server)[ ]{0,8}[:=][ ]{0,8}[A-Za-z0-9.-]{4,})",
 }
 SCOPE = 200
-PART = "struct<lo:int,hi:int,part:int,weak:boolean>"
+LINKED = "struct<lo:int,hi:int,part:int>"
 
 
 def base_spans(df: DataFrame) -> DataFrame:
@@ -47,11 +47,6 @@ def base_spans(df: DataFrame) -> DataFrame:
     return df.withColumns({f"base_{k}": F.expr(f"filter({places('text', r, f'm_{k}')}, s -> {valid[k]})") for k, r in BASE.items()}).drop(*(f"m_{k}" for k in BASE))
 
 
-def near(part: str, x: str) -> str:
-    """SQL: whether x, after both sweeps, has that part in its scope."""
-    return f"({x}.lo - {x}.past_{part} <= {SCOPE} OR {x}.next_{part} - {x}.hi <= {SCOPE})"
-
-
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, base_<kind> and linked (array of lo, hi, part), the weak candidates reported."""
     rows = base_spans(keyed(df, id_col, text_col))
@@ -61,22 +56,20 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = f"concat({', '.join(f'base_{k}' for k in KINDS)})"
     every = [as_parts(f"base_{k}", PART_OF[k], "false") for k in KINDS] + [as_parts(apart(f"weak_{p}", base), p, "true") for p in PARTS]
     rows = rows.withColumn("parts", F.expr(f"array_sort(concat({', '.join(every)}))"))
-    # forward: the furthest end so far of each part; backward: the nearest start after
-    far, none = 1 << 30, -(1 << 30)
-    past = "".join(f", 'past_{p}', acc.{p}" for p in PARTS)
-    ahead = "".join(f", '{p}', CASE WHEN x.part = {i} THEN greatest(acc.{p}, x.hi) ELSE acc.{p} END" for i, p in enumerate(PARTS))
-    fields = "lo:int,hi:int,part:int,weak:boolean," + ",".join(f"past_{p}:int" for p in PARTS)
-    forward = f"aggregate(parts, named_struct({', '.join(f"'{p}', {none}" for p in PARTS)}, 'out', cast(array() AS array<struct<{fields}>>)), (acc, x) -> named_struct({ahead[2:]}, 'out', concat(acc.out, array(named_struct('lo', x.lo, 'hi', x.hi, 'part', x.part, 'weak', x.weak{past})))), acc -> acc.out)"
-    keep = "".join(f", 'past_{p}', x.past_{p}" for p in PARTS)
-    coming = "".join(f", 'next_{p}', acc.{p}" for p in PARTS)
-    behind = "".join(f", '{p}', CASE WHEN x.part = {i} THEN least(acc.{p}, x.lo) ELSE acc.{p} END" for i, p in enumerate(PARTS))
-    backward = f"aggregate(reverse(swept), named_struct({', '.join(f"'{p}', {far}" for p in PARTS)}, 'out', cast(array() AS array<struct<{fields},{','.join(f'next_{p}:int' for p in PARTS)}>>)), (acc, x) -> named_struct({behind[2:]}, 'out', concat(acc.out, array(named_struct('lo', x.lo, 'hi', x.hi, 'part', x.part, 'weak', x.weak{keep}{coming})))), acc -> reverse(acc.out))"
-    rows = rows.withColumn("swept", F.expr(f"CASE WHEN size(parts) > 1 AND exists(parts, x -> x.weak) THEN {forward} ELSE cast(array() AS array<struct<{fields}>>) END"))
-    rows = rows.withColumn("swept", F.expr(backward))
-    complete = f"CASE x.part WHEN 0 THEN {near('secret', 'x')} WHEN 1 THEN {near('id', 'x')} ELSE {near('id', 'x')} AND {near('secret', 'x')} END"
-    kept = "array<struct<lo:int,hi:int,part:int>>"
-    linked = f"aggregate(filter(swept, x -> x.weak AND {complete}), named_struct('at', 0, 'out', cast(array() AS {kept})), (acc, x) -> CASE WHEN x.lo >= acc.at THEN named_struct('at', x.hi, 'out', concat(acc.out, array(named_struct('lo', x.lo, 'hi', x.hi, 'part', x.part)))) ELSE acc END, acc -> acc.out)"
-    return rows.select(F.col("id").alias(id_col), *(f"base_{k}" for k in KINDS), F.expr(linked).alias("linked"))
+    return rows.select(F.col("id").alias(id_col), *(f"base_{k}" for k in KINDS), F.expr(linked("parts")).alias("linked"))
+
+
+def linked(parts: str) -> str:
+    """SQL: of a sorted array of parts (lo, hi, part, weak), the weak ones whose complement is in their scope."""
+    far = 1 << 30
+    past = {p: furthest(f"transform({parts}, x -> CASE WHEN x.part = {i} THEN x.hi ELSE -{far} END)") for i, p in enumerate(PARTS[:2])}
+    coming = {p: nearest(f"transform({parts}, x -> CASE WHEN x.part = {i} THEN x.lo ELSE {far} END)") for i, p in enumerate(PARTS[:2])}
+    near = lambda p: f"(x.lo - past_{p}[i] <= {SCOPE} OR next_{p}[i] - x.hi <= {SCOPE})"
+    complete = f"CASE x.part WHEN 0 THEN {near('secret')} WHEN 1 THEN {near('id')} ELSE {near('id')} AND {near('secret')} END"
+    found = f"transform(filter({parts}, (x, i) -> x.weak AND {complete}), x -> named_struct('lo', x.lo, 'hi', x.hi, 'part', x.part))"
+    for p in PARTS[:2]:
+        found = let(f"past_{p}", past[p], let(f"next_{p}", coming[p], found))
+    return f"CASE WHEN size({parts}) > 1 AND exists({parts}, x -> x.weak) THEN {disjoint(found, LINKED)} ELSE cast(array() AS array<{LINKED}>) END"
 
 
 def secret_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

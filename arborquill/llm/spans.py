@@ -3,6 +3,10 @@
 ``split`` gives the gaps between the matches that ``regexp_extract_all`` gives, in the same order, so
 running sums of their lengths are the matches' places. All in one row: no shuffle, and a text of any
 length stays whole. Possessive quantifiers and starts at a run's beginning only keep the time linear.
+
+What runs along an array in order (sums, furthest ends) is a :func:`scan`, which combines elements at
+distances 1, 2, 4 and so on. An ``aggregate`` that gathers an array would copy it at each of its steps; a
+text may hold hundreds of thousands of matches.
 """
 
 from __future__ import annotations
@@ -20,6 +24,28 @@ def literal(text: str) -> str:
     raise ValueError(text)
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to a value that is computed once, whatever the optimizer merges."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def scan(values: str, combine: str) -> str:
+    """SQL: of an array of int, each element combined with all before it; ``combine`` is of ``x`` and ``y``,
+    associative and commutative. Time n log n."""
+    far = "a[i - shiftleft(1, k)]"
+    step = f"transform(a, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {combine.replace('y', far)} ELSE x END)"
+    return let("v", values, f"CASE WHEN size(v) > 1 THEN aggregate(sequence(0, cast(ceil(log2(size(v))) AS int) - 1), v, (a, k) -> {step}) ELSE v END")
+
+
+def furthest(values: str) -> str:
+    return scan(values, "greatest(x, y)")
+
+
+def nearest(values: str) -> str:
+    """SQL: the least of each element and all behind it."""
+    return f"reverse({scan(f'reverse({values})', 'least(x, y)')})"
+
+
 def matches(text: str, regex: str, guard: str = "true") -> str:
     """SQL: array of matched strings."""
     return f"CASE WHEN {guard} THEN regexp_extract_all({text}, {literal(regex)}, 0) ELSE cast(array() AS array<string>) END"
@@ -27,15 +53,9 @@ def matches(text: str, regex: str, guard: str = "true") -> str:
 
 def places(text: str, regex: str, found: str) -> str:
     """SQL: array of ``SPAN`` for the matches in column ``found``; ends are exclusive, code points."""
-    gap, match = "element_at(g, i)", f"element_at({found}, i)"
-    start = f"acc.at + length({gap})"
-    step = (
-        f"named_struct('at', {start} + length({match}), 'out', concat(acc.out, array(named_struct("
-        f"'lo', {start}, 'hi', {start} + length({match}), 'text', {match}, "
-        f"'before', right({gap}, {CONTEXT}), 'after', left(element_at(g, i + 1), 1)))))"
-    )
-    summed = f"aggregate(sequence(1, size({found})), named_struct('at', 0, 'out', cast(array() AS array<{SPAN}>)), (acc, i) -> {step}, acc -> acc.out)"
-    return f"CASE WHEN size({found}) > 0 THEN transform(array(split({text}, {literal(regex)}, -1)), g -> {summed})[0] ELSE cast(array() AS array<{SPAN}>) END"
+    ends = scan(f"transform({found}, (m, i) -> length(g[i]) + length(m))", "x + y")
+    span = f"named_struct('lo', e - length({found}[i]), 'hi', e, 'text', {found}[i], 'before', right(g[i], {CONTEXT}), 'after', left(g[i + 1], 1))"
+    return f"CASE WHEN size({found}) > 0 THEN {let('g', f'split({text}, {literal(regex)}, -1)', f'transform({ends}, (e, i) -> {span})')} ELSE cast(array() AS array<{SPAN}>) END"
 
 
 def listed(spans: str, kind: str) -> str:
@@ -43,23 +63,18 @@ def listed(spans: str, kind: str) -> str:
     return f"transform({spans}, s -> concat({kind}, ':', s.lo, ':', s.hi))"
 
 
-def let(name: str, value: str, body: str) -> str:
-    """SQL: ``body`` with ``name`` bound to a value that is computed once, whatever the optimizer merges."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def touched(own: str, other: str) -> str:
-    """SQL: the indexes of those intervals in ``own`` that overlap any in ``other``: a sweep each way."""
-    none = "cast(array() AS array<int>)"
-    events = f"array_sort(concat(transform({other}, o -> named_struct('lo', o.lo, 'hi', o.hi, 'i', -1)), transform({own}, (o, i) -> named_struct('lo', o.lo, 'hi', o.hi, 'i', i))))"
-
-    def sweep(array: str, begin: str, seen: str, hit: str) -> str:
-        return f"aggregate({array}, named_struct('at', {begin}, 'out', {none}), (acc, e) -> CASE WHEN e.i < 0 THEN named_struct('at', {seen}, 'out', acc.out) WHEN {hit} THEN named_struct('at', acc.at, 'out', concat(acc.out, array(e.i))) ELSE acc END, acc -> acc.out)"
-
-    both = f"concat({sweep('ev', '-1', 'greatest(acc.at, e.hi)', 'acc.at > e.lo')}, {sweep('reverse(ev)', '2147483647', 'least(acc.at, e.lo)', 'acc.at < e.hi')})"
-    return f"CASE WHEN size({own}) > 0 AND size({other}) > 0 THEN {let('ev', events, both)} ELSE {none} END"
-
-
 def apart(own: str, other: str) -> str:
-    """SQL: the intervals in ``own`` that overlap none in ``other``."""
-    return let("t", touched(own, other), f"filter({own}, (c, i) -> NOT array_contains(t, i))")
+    """SQL: the intervals in ``own`` that overlap none in ``other``, by their places."""
+    events = f"array_sort(concat(transform({other}, o -> named_struct('lo', o.lo, 'hi', o.hi, 'i', -1)), transform({own}, (o, i) -> named_struct('lo', o.lo, 'hi', o.hi, 'i', i))))"
+    past, next_ = furthest("transform(ev, e -> CASE WHEN e.i < 0 THEN e.hi ELSE -1 END)"), nearest("transform(ev, e -> CASE WHEN e.i < 0 THEN e.lo ELSE 2147483647 END)")
+    clear = let("past", past, let("next", next_, "filter(transform(ev, (e, i) -> CASE WHEN past[i] <= e.lo AND next[i] >= e.hi THEN e.i ELSE -1 END), i -> i >= 0)"))
+    return f"CASE WHEN size({own}) > 0 AND size({other}) > 0 THEN transform({let('ev', events, clear)}, i -> {own}[i]) ELSE {own} END"
+
+
+def disjoint(spans: str, kind: str) -> str:
+    """SQL: of ``spans`` (an array of ``kind`` in the order of preference by start) those that begin after the
+    last one taken ends. Choices are made within each run of spans that overlap, so they gather little."""
+    chosen = "named_struct('at', x.hi, 'out', concat(s.out, array(x)))"
+    run = f"aggregate(slice(sp, b, coalesce(get(starts, k + 1), size(sp) + 1) - b), named_struct('at', 0, 'out', cast(array() AS array<{kind}>)), (s, x) -> CASE WHEN x.lo >= s.at THEN {chosen} ELSE s END, s -> s.out)"
+    starts = f"{let('past', furthest('transform(sp, x -> x.hi)'), 'filter(sequence(1, size(sp)), i -> i = 1 OR sp[i - 1].lo >= past[i - 2])')}"
+    return let("sp", spans, f"CASE WHEN size(sp) > 0 THEN {let('starts', starts, f'flatten(transform(starts, (b, k) -> {run}))')} ELSE cast(array() AS array<{kind}>) END")
