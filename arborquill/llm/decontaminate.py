@@ -4,23 +4,25 @@ A text becomes a template: its words in lower case without punctuation around th
 placeholders for numbers, for units after numbers, and for names (title-case words within a sentence).
 Windows of ``WINDOW`` template words of the items (all words of a shorter item, ``SHORTEST`` at least)
 are hash-joined with the windows of the documents. Matched windows at one offset between item and
-document form an alignment; it counts if its slots are consistent: equal values of the item's slots of
-a type stand for equal values in the document, and different for different. So a re-parameterised
-question is caught, and a chance meeting of sentence frames is not. An item leaks into a document if
-consistent alignments cover at least ``COVER`` of its words. Windows with fewer than ``LITERALS``
-words that aren't placeholders match too much and aren't searched as templates.
+document form an alignment. Its slots are checked for consistency: a one-to-one renaming of each type's
+values is chosen, the most frequent pairs of values first, and slots that it doesn't explain don't count.
+Words that are equal, and plain words that match, count whatever the slots hold. So a re-parameterised
+question is caught, with one number edited or all drawn anew, and a chance meeting of sentence frames in
+which most of what matches are slots is not. An item leaks into a document if what counts covers at least
+``COVER`` of its words. Windows with fewer than ``LITERALS`` words that aren't placeholders match too much
+and aren't searched as templates.
 
 Plain windows, of the same words without placeholders, are searched besides: all of them, and the whole
 text of an item shorter than a window. So copies that are verbatim but for letter case are found however
 many numbers and names an item has, and whatever stands before it. Their places join the alignment of the
-template windows; if the two together aren't consistent, those of the templates count alone.
+template windows.
 
 The items are the stated query set: blocks of at most ``BLOCK`` windows, each joined by one pass over
 all documents, whose rows aren't shuffled. A block's size is fixed, so what each task holds is bounded.
 
 Edge cases: null and empty texts have no words and match nothing; items shorter than ``SHORTEST`` words
 are found by their plain words only; repeated items and rows are each reported; null ids are kept. Empty tables give no
-rows.
+rows. Item ids may be of any atomic type. If both ids have one name, the item's is ``item_<name>``.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType
 
 from .common import keyed, sliced
 
@@ -147,10 +151,10 @@ class Items:
             rows_.sort()
             self.index[kind] = (np.array([r[0] for r in rows_], np.uint64), [r[1:] for r in rows_])
 
-    def leaks(self, text: str, cache: Words) -> list[tuple[object, int, int, int, bool]]:
-        """(item, its words, covered words, changed slots, verbatim) for each item that leaks into a text."""
+    def leaks(self, text: str, cache: Words) -> list[tuple[object, int, int, int, int, bool]]:
+        """(item, its words, covered words, changed slots, slots left out, verbatim) for each item that leaks into a text."""
         hashes, kinds, words, bare = views(text, cache)
-        aligned: dict[tuple[int, int], list[tuple[bool, int, int]]] = defaultdict(list)
+        aligned: dict[tuple[int, int], set[int]] = defaultdict(set)
         for (plain, size), (keys, where) in self.index.items():
             seen, _ = windows(bare if plain else hashes, kinds, size)
             if not len(keys):
@@ -159,46 +163,52 @@ class Items:
             for p in np.flatnonzero(keys[lo] == seen).tolist():
                 for r in range(int(lo[p]), int(np.searchsorted(keys, seen[p], "right"))):
                     at, q = where[r]
-                    aligned[at, p - q].append((plain, q, size))
+                    aligned[at, p - q].update(range(q, q + size))
         covered: dict[int, set[int]] = defaultdict(set)
-        changed: dict[int, int] = defaultdict(int)
-        for (at, shift), spots in aligned.items():
+        slots: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+        for (at, shift), places in aligned.items():
             _, own, classes, plain, own_bare = self.items[at]
-            typed = {q + i for p, q, size in spots if not p for i in range(size)}
-            equal = {q + i for p, q, size in spots if p for i in range(size)}
-            typed = {q for q in typed if own[q] == hashes[q + shift]}  # against chance collisions
-            equal = {q for q in equal if own_bare[q] == bare[q + shift]}
-            for places in [typed | equal, typed] if typed and not equal <= typed else [typed | equal]:
-                if (n := self.consistent(sorted(places), shift, classes, plain, words)) is not None:
-                    covered[at].update(places)
-                    changed[at] = max(changed[at], n)
-                    break
+            equal = {q for q in places if own_bare[q] == bare[q + shift]}
+            typed = {q for q in places if own[q] == hashes[q + shift]}  # against chance collisions
+            good, changed, left = self.consistent(sorted(equal | typed), shift, classes, plain, words)
+            covered[at] |= good
+            slots[at] = [max(slots[at][0], changed), max(slots[at][1], left)]
         out = []
         for at, places in covered.items():
             item, own, _, _, _ = self.items[at]
             if len(places) >= COVER * len(own):
-                out.append((item, len(own), len(places), changed[at], not changed[at] and len(places) == len(own)))
+                changed, left = slots[at]
+                out.append((item, len(own), len(places), changed, left, not changed and not left and len(places) == len(own)))
         return out
 
     @staticmethod
-    def consistent(places: list[int], shift: int, kinds: np.ndarray, plain: list[str], words: list[str]) -> int | None:
-        """How many slots changed, or None if no one-to-one renaming of each type explains them."""
-        there: dict[tuple[int, str], str] = {}
-        back: dict[tuple[int, str], str] = {}
-        changed = 0
+    def consistent(places: list[int], shift: int, kinds: np.ndarray, plain: list[str], words: list[str]) -> tuple[set[int], int, int]:
+        """The places but for slots that a one-to-one renaming of each type doesn't explain, how many of
+        them hold another value, and how many slots were left out."""
+        pairs: dict[tuple[int, str, str], list[int]] = defaultdict(list)
+        good = set(places)
         for q in places:
             if k := int(kinds[q]):
-                a, b = word_class(plain[q])[3], word_class(words[q + shift])[3]
-                if there.setdefault((k, a), b) != b or back.setdefault((k, b), a) != a:
-                    return None
-                changed += a != b
-        return changed
+                pairs[k, word_class(plain[q])[3], word_class(words[q + shift])[3]].append(q)
+        there, back = set(), set()
+        changed = left = 0
+        for (k, a, b), at in sorted(pairs.items(), key=lambda x: (-len(x[1]), x[0][1] != x[0][2], x[1])):
+            if (k, a) in there or (k, b) in back:
+                if a != b:
+                    good.difference_update(at)
+                    left += len(at)
+                continue
+            there.add((k, a))
+            back.add((k, b))
+            changed += len(at) * (a != b)
+        return good, changed, left
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
-    """The items in their ids' order, at most ``BLOCK`` words (or one item) a block."""
+    """The items, their ids as strings, in the ids' order, at most ``BLOCK`` words (or one item) a block."""
     rows, total = [], 0
-    for r in keyed(benchmark, item_col, text_col).orderBy("id", "text").toLocalIterator():
+    ordered = keyed(benchmark, item_col, text_col).orderBy("id", "text")
+    for r in ordered.select(as_string(F.col("id"), benchmark.schema[item_col].dataType).alias("id"), "text").toLocalIterator():
         n = len(r["text"].split())
         if rows and total + n > BLOCK:
             yield Items(rows)
@@ -209,8 +219,20 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items
         yield Items(rows)
 
 
+def as_string(c: Column, kind: DataType) -> Column:
+    return F.hex(c) if isinstance(kind, BinaryType) else c.cast("string")
+
+
+def from_string(c: Column, kind: DataType) -> Column:
+    return F.unhex(c) if isinstance(kind, BinaryType) else c.cast(kind)
+
+
+FOUND = {"item": pa.string(), "n_words": pa.int64(), "n_covered": pa.int64(), "n_changed": pa.int64(), "n_inconsistent": pa.int64(), "verbatim": pa.bool_()}
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """id_col, item_col, n_words (of the item), n_covered, n_changed (slots with another value) and verbatim (every word and slot)."""
+    """id_col, item_col, n_words (of the item), n_covered, n_changed (slots with another value),
+    n_inconsistent (slots that don't count) and verbatim (every word and slot)."""
     rows = keyed(docs, id_col, text_col)
     kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType
     sc = docs.sparkSession.sparkContext
@@ -226,21 +248,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     leaks = held.value.leaks(text, cache)
                     ids += [at] * len(leaks)
                     found += leaks
-                names = ["item", "n_words", "n_covered", "n_changed", "verbatim"]
-                columns = list(zip(*found, strict=True)) or [()] * len(names)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-                kinds[0] = pa.from_numpy_dtype(np.int64) if item_kind.simpleString() in ("bigint", "int") else pa.string()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", *names])
+                columns = list(zip(*found, strict=True)) or [()] * len(FOUND)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, FOUND.values(), strict=True))], ["id", *FOUND])
 
-        item = "bigint" if item_kind.simpleString() in ("bigint", "int") else "string"
-        return rows.mapInArrow(run, f"id {kind}, item {item}, n_words bigint, n_covered bigint, n_changed bigint, verbatim boolean")
+        return rows.mapInArrow(run, f"id {kind}, item string, n_words bigint, n_covered bigint, n_changed bigint, n_inconsistent bigint, verbatim boolean")
 
     out = None
     for items in blocks(benchmark, item_col, item_text_col):
         out = scan(items) if out is None else out.unionAll(scan(items))
     if out is None:
         out = scan(Items([])).limit(0)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+    name = item_col if item_col.lower() != id_col.lower() else f"item_{item_col}"
+    return out.select(F.col("id").alias(id_col), from_string(F.col("item"), item_kind).alias(name), *list(FOUND)[1:])
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
