@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,24 +29,53 @@ def keyed(df: DataFrame, id_col: str, text_col: str, binary: bool = False) -> Da
 
 #: Spark's setting by which an execution's shuffle files go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+#: Of each session's setting: how many checkpoints are being written, and the value before.
+_HELD: dict[int, tuple[int, str]] = {}
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names, else, within one machine only, a temporary one."""
+    if (at := spark.conf.get("spark.checkpoint.dir", None)) is not None:
+        return at
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
+@contextlib.contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Within, executions drop their shuffle files; several threads may be within at once."""
+    key = id(spark._jsparkSession)
+    with _LOCK:
+        n, before = _HELD.get(key, (0, None))
+        if not n:
+            before = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _HELD[key] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _HELD.pop(key)
+            if n > 1:
+                _HELD[key] = (n - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
 
-    The shuffle files behind it are then of no use and go at once. Only where no folder is configured
-    (tests) a temporary one is used.
+    The shuffle files behind it are then of no use and go at once. Checkpoints themselves go with the
+    DataFrame if the cluster sets spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _LOCK:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+    with cleaned_up(spark):
         return df.select("*").checkpoint(eager=True)  # the setting counts where a DataFrame is made
-    finally:
-        spark.conf.set(CLEANUP, before)
 
 
 def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
