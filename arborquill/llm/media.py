@@ -5,8 +5,11 @@
 :func:`describe` turns the sample tables into codec, duration and keyframe byte ranges; neither
 looks inside ``mdat``.
 
+Tables are kept by track: the first video track counts, or else the first track. Fragments (``moof``) add
+their runs of samples. Counts are checked against the boxes that hold them before anything is allocated.
+
 Edge cases: a null or empty text is one frame of padding; a null container gives null columns; a
-truncated or foreign one gives ``error`` and no ranges. Rows are independent: ties, repeated rows
+truncated, forged or foreign one, or one whose tables aren't read here, gives ``error`` and no ranges. Rows are independent: ties, repeated rows
 and empty tables need nothing special.
 """
 
@@ -108,13 +111,92 @@ def walk(data: memoryview, begin: int = 0, end: int | None = None, path: tuple[b
         at = stop
 
 
+class Track:
+    """A ``trak``'s tables, its id and what its fragments add."""
+
+    def __init__(self):
+        self.tables: dict[bytes, tuple[int, int]] = {}
+        self.fragments: list[tuple[int, int, bool, int]] = []  # start, end, whether a keyframe, ticks
+
+
+def tracks_of(data: memoryview) -> list[Track]:
+    tracks: list[Track] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    of_id: dict[int, Track] = {}
+    moof = at = 0
+    head: tuple[Track | None, int, int, int, int] = (None, 0, 0, 0, 0)
+    for path, a, b in walk(data):
+        kind = path[-1]
+        if kind == b"trak":
+            tracks.append(Track())
+        elif b"trak" in path and kind not in PARENTS:
+            tracks[-1].tables.setdefault(kind, (a, b))
+            if kind == b"tkhd":
+                of_id[struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]] = tracks[-1]
+        elif kind == b"trex":
+            track, _, *rest = struct.unpack_from(">5I", data, a + 4)
+            defaults[track] = tuple(rest)
+        elif kind == b"moof":
+            moof = at = a - (8 if bytes(data[a - 4 : a]) == b"moof" else 16)
+        elif kind == b"tfhd":
+            flags, track = struct.unpack_from(">II", data, a)
+            flags, p = flags & 0xFFFFFF, a + 8
+            base = at
+            if flags & 1:
+                base, p = struct.unpack_from(">Q", data, p)[0], p + 8
+            elif flags & 0x20000:
+                base = moof
+            p += 4 * bool(flags & 2)
+            values = list(defaults.get(track, (0, 0, 0)))
+            for i, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    values[i], p = struct.unpack_from(">I", data, p)[0], p + 4
+            if track not in of_id:
+                raise ValueError(f"fragment of an unknown track {track}")
+            head, at = (of_id[track], base, *values), base
+        elif kind == b"trun":
+            at = run_of_samples(data, a, b, head, at)
+    return tracks
+
+
+def run_of_samples(data: memoryview, a: int, b: int, head: tuple, at: int) -> int:
+    """The samples of a ``trun`` go to their track; where the next run begins, if it doesn't say."""
+    track, base, ticks, size, marks = head
+    if track is None:
+        raise ValueError("a run of samples without a head")
+    flags, n = struct.unpack_from(">II", data, a)
+    flags, p = flags & 0xFFFFFF, a + 8
+    if flags & 1:
+        at, p = base + struct.unpack_from(">i", data, p)[0], p + 4
+    first = None
+    if flags & 4:
+        first, p = struct.unpack_from(">I", data, p)[0], p + 4
+    width = 4 * (flags >> 8 & 15).bit_count()
+    if p + n * width > b or not width and n * size > len(data):
+        raise ValueError("run of samples is cut off")
+    for i in range(n):
+        own = [ticks, size, first if first is not None and not i else marks]
+        for k, bit in enumerate((0x100, 0x200, 0x400)):
+            if flags & bit:
+                own[k], p = struct.unpack_from(">I", data, p)[0], p + 4
+        p += 4 * bool(flags & 0x800)
+        if at < 0 or at + own[1] > len(data):
+            raise ValueError("fragments don't agree with the file")
+        track.fragments.append((at, at + own[1], not own[2] & 0x10000, own[0]))
+        at += own[1]
+    return at
+
+
 def describe(media: bytes) -> dict:
-    """codec, timescale, duration (ticks), n_samples, samples and keyframes ([start, end) bytes) of the first track."""
+    """codec, timescale, duration (ticks), n_samples, samples and keyframes ([start, end) bytes) of the first
+    video track, or of the first track if there's none; samples of fragments follow those of the tables."""
     data = memoryview(media)
-    tables: dict[bytes, tuple[int, int]] = {}
-    for path, a, b in walk(data):
-        if len(path) > 1 and path[-1] not in PARENTS:
-            tables.setdefault(path[-1], (a, b))
+    tracks = tracks_of(data)
+    if not tracks:
+        raise ValueError("no track")
+    handler = lambda t: bytes(data[t.tables[b"hdlr"][0] + 8 : t.tables[b"hdlr"][0] + 12]) if b"hdlr" in t.tables else b""
+    track = next((t for t in tracks if handler(t) == b"vide"), tracks[0])
+    tables = track.tables
 
     def read(kind: bytes, fmt: str, skip: int = 4) -> list:
         """Rows of a counted table."""
@@ -124,6 +206,8 @@ def describe(media: bytes) -> dict:
             raise ValueError(f"table {kind.decode()} is cut off")
         return list(struct.iter_unpack(fmt, data[a + skip + 4 : a + skip + 4 + count * width]))
 
+    if b"stz2" in tables:
+        raise ValueError("unsupported table stz2")
     need = {b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"} - tables.keys()
     if need or not {b"stco", b"co64"} & tables.keys():
         raise ValueError("no sample tables: " + ",".join(sorted(k.decode() for k in need)))
@@ -132,21 +216,28 @@ def describe(media: bytes) -> dict:
     codec = bytes(data[tables[b"stsd"][0] + 12 : tables[b"stsd"][0] + 16]).decode("latin-1")
     a, b = tables[b"stsz"]
     fixed, n = struct.unpack_from(">2I", data, a + 4)
+    if fixed and n * fixed > len(data):
+        raise ValueError("more samples than the file holds")
     sizes = [fixed] * n if fixed else [x for (x,) in read(b"stsz", ">I", 8)]
     offsets = [x for (x,) in (read(b"co64", ">Q") if b"co64" in tables else read(b"stco", ">I"))]
     runs = read(b"stsc", ">3I")
     samples: list[tuple[int, int]] = []
     for i, (first, per, _) in enumerate(runs):
-        for chunk in range(first - 1, runs[i + 1][0] - 1 if i + 1 < len(runs) else len(offsets)):
+        until = runs[i + 1][0] - 1 if i + 1 < len(runs) else len(offsets)
+        if first < 1 or until > len(offsets):
+            raise ValueError("sample tables don't agree with the file")
+        for chunk in range(first - 1, until):
             at = offsets[chunk]
             for size in sizes[len(samples) : len(samples) + per]:
                 samples.append((at, at + size))
                 at += size
     if len(samples) != n or samples and max(s[1] for s in samples) > len(data):
         raise ValueError("sample tables don't agree with the file")
-    ticks = sum(k * d for k, d in read(b"stts", ">2I"))
+    ticks = sum(k * d for k, d in read(b"stts", ">2I")) + sum(f[3] for f in track.fragments)
     keys = [k - 1 for (k,) in read(b"stss", ">I")] if b"stss" in tables else range(n)
-    return {"codec": codec, "timescale": timescale, "duration": duration or ticks, "samples": samples, "keyframes": [samples[k] for k in keys if k < n]}
+    keyframes = [samples[k] for k in keys if 0 <= k < n] + [f[:2] for f in track.fragments if f[2]]
+    samples += [f[:2] for f in track.fragments]
+    return {"codec": codec, "timescale": timescale, "duration": duration or ticks, "samples": samples, "keyframes": keyframes}
 
 
 def contents(media: bytes, samples: list[tuple[int, int]]) -> bytes:

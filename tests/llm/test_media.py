@@ -53,3 +53,71 @@ def test_walk_wide_and_open_boxes():
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert media.media_digests(media.store_media(frame)).count() == 0
+
+
+def track(number, handler, codec, first, sizes, syncs=None, stsz=None, stsc=None):
+    full = media.full_box
+    tables = [
+        full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(28))),
+        full(b"stts", struct.pack(">3I", 1, len(sizes), 10) if sizes else struct.pack(">I", 0)),
+        full(b"stsc", stsc or (struct.pack(">4I", 1, 1, len(sizes), 1) if sizes else struct.pack(">I", 0))),
+        stsz or full(b"stsz", struct.pack(f">2I{len(sizes)}I", 0, len(sizes), *sizes)),
+        full(b"stco", struct.pack(">2I", 1, first) if sizes else struct.pack(">I", 0)),
+    ]
+    if syncs is not None:
+        tables.append(full(b"stss", struct.pack(f">I{len(syncs)}I", len(syncs), *syncs)))
+    mdia = media.box(b"mdia", full(b"mdhd", struct.pack(">5I", 0, 0, 1000, 0, 0)), full(b"hdlr", struct.pack(">I4s12x", 0, handler)), media.box(b"minf", media.box(b"stbl", *tables)))
+    return media.box(b"trak", full(b"tkhd", struct.pack(">3I", 0, 0, number), bytes(60)), mdia)
+
+
+def test_tables_are_kept_by_track():
+    data = media.box(b"mdat", bytes(100))
+    audio, video = track(1, b"soun", b"mp4a", 8, [10, 10, 10]), track(2, b"vide", b"avc1", 38, [20, 5, 5, 20], [1, 4])
+    for tracks in ([audio, video], [video, audio]):
+        d = media.describe(data + media.box(b"moov", *tracks))
+        assert (d["codec"], d["samples"], d["keyframes"], d["duration"]) == ("avc1", [(38, 58), (58, 63), (63, 68), (68, 88)], [(38, 58), (68, 88)], 40)
+    d = media.describe(data + media.box(b"moov", audio))
+    assert (d["codec"], d["keyframes"]) == ("mp4a", [(8, 18), (18, 28), (28, 38)])
+
+
+def test_fragments():
+    trex = media.full_box(b"trex", struct.pack(">5I", 2, 1, 7, 6, 0x10000))
+    moov = media.box(b"moov", track(1, b"soun", b"mp4a", 0, []), track(2, b"vide", b"avc1", 0, []), media.box(b"mvex", trex))
+
+    def moof(offset, tracks):
+        return media.box(b"moof", *tracks(offset))
+
+    def runs(offset):
+        one = media.full_box(b"tfhd", struct.pack(">I", 2), flags=0x20000)
+        # the first sample has flags of its own, sizes are listed
+        run = media.full_box(b"trun", struct.pack(">IiI3I", 3, offset, 0, 4, 5, 6), flags=0x1 | 0x4 | 0x200)
+        more = media.full_box(b"trun", struct.pack(">I", 2), flags=0)  # the track's defaults, behind the first run
+        other = media.full_box(b"tfhd", struct.pack(">III", 1, 3, 9), flags=0x20000 | 0x8 | 0x10)
+        sound = media.full_box(b"trun", struct.pack(">Ii", 1, offset + 27), flags=0x1)
+        return media.box(b"traf", one, run, more), media.box(b"traf", other, sound)
+
+    size = len(moof(0, runs))
+    file = moov + moof(size + 8, runs) + media.box(b"mdat", bytes(range(36)))
+    d = media.describe(file)
+    begin = len(moov) + size + 8
+    want = [(0, 4), (4, 9), (9, 15), (15, 21), (21, 27)]
+    assert d["samples"] == [(begin + a, begin + b) for a, b in want] and d["keyframes"] == [(begin, begin + 4)] and d["duration"] == 35
+    assert media.contents(file, d["samples"]) == bytes(range(27))
+    with pytest.raises(ValueError, match="fragments don't agree"):
+        media.describe(file[: -36 - 8] + media.box(b"mdat", bytes(8)))
+
+
+def test_forged_counts_are_refused():
+    data, full = media.box(b"mdat", bytes(100)), media.full_box
+    forged = [
+        track(1, b"vide", b"avc1", 8, [5], stsz=full(b"stsz", struct.pack(">2I", 1, 2**32 - 1))),
+        track(1, b"vide", b"avc1", 8, [5], stsz=full(b"stsz", struct.pack(">2I", 0, 2**31))),
+        track(1, b"vide", b"avc1", 8, [5], stsc=struct.pack(">4I", 2**30, 1, 1, 1)),
+        track(1, b"vide", b"avc1", 8, [5], stsc=struct.pack(">7I", 2, 1, 1, 1, 2**31, 1, 1)),
+        track(1, b"vide", b"avc1", 8, [5], stsz=full(b"stz2", struct.pack(">2I", 8, 1))),
+    ]
+    for trak in forged:
+        with pytest.raises(ValueError):
+            media.describe(data + media.box(b"moov", trak))
+    with pytest.raises(ValueError, match="no track"):
+        media.describe(data)
