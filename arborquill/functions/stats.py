@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,11 +15,13 @@ def frequency(df: DataFrame, *columns: str, top: int | None = None) -> DataFrame
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """a, b, f12 (rows with both), f1, f2 (rows with each) and n (all rows). Rows with a null are left out.
 
-    Windows run over distinct pairs, not rows; the total is one row, broadcast."""
+    Margins are sums over distinct pairs, joined back, so that a very frequent value is a key of a join, which
+    adaptive execution splits, and of no window; the total is one row, broadcast."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("f12"))
     total = pairs.agg(F.coalesce(F.sum("f12"), F.lit(0)).alias("n"))
-    sums = pairs.select("*", F.sum("f12").over(Window.partitionBy(a)).alias("f1"), F.sum("f12").over(Window.partitionBy(b)).alias("f2"))
-    return sums.crossJoin(F.broadcast(total))
+    for column, margin in ((a, "f1"), (b, "f2")):
+        pairs = pairs.join(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(column).agg(F.count("*").alias(margin)), column)
+    return pairs.select(a, b, "f12", "f1", "f2").crossJoin(F.broadcast(total))
 
 
 def log_likelihood(f12: Column, f1: Column, f2: Column, n: Column) -> Column:

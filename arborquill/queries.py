@@ -5,7 +5,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +19,7 @@ from .nav import children, displacy_table, parents
 from .schema import flatten
 from .sources.blocks import parse, strict
 from .sources.derived import WORDS_SQL, derived_sentences, to_conllu
+from .streaming import search_stream
 from .treebank import Treebank, complete
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,16 +103,108 @@ def conllu_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Treebank(complete(strict(parse(text)))).search(NSUBJ, ordered=False)
 
 
+def shared_folder(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """A folder of this application that all executors see; a temporary one within one machine only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.gettempdir()
+    return f"{at.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{zlib.crc32(sf_dir.encode()):08x}"
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sent_id and value, the text of each sentence with its id as a comment."""
+    text = to_conllu(derived_sentences(spark, sf_dir))
+    return text.select("sent_id", F.concat(F.lit("# id = "), F.col("sent_id"), F.lit("\n"), F.col("value")).alias("value"))
+
+
+def written(text: DataFrame, folder: str, compression: str = "none") -> list[str]:
+    """The files of these texts."""
+    text.select("value").write.mode("overwrite").option("lineSep", "\n\n").option("compression", compression).text(folder)
+    return sorted(text.sparkSession.read.text(folder).inputFiles())
+
+
+OWN_ID = "cast(metadata['id'] AS bigint) AS sent_id"
+
+
 @query("conllu_files", NSUBJ_SQL)
 def conllu_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through files in a shared folder and Spark's own splitting reader."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="conllu-")
-    folder = f"{shared.rstrip('/')}/conllu-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    text = to_conllu(derived_sentences(spark, sf_dir)).select(F.concat(F.lit("# id = "), F.col("sent_id"), F.lit("\n"), F.col("value")).alias("value"))
-    text.write.mode("overwrite").option("lineSep", "\n\n").text(folder)
-    bank = Treebank.from_blocks(folder, spark)
-    found = bank.search(NSUBJ, ordered=False, keep=("metadata",))
-    return found.select(F.col("metadata")["id"].cast("bigint").alias("sent_id"), "V", "N")
+    folder = shared_folder(spark, "conllu", sf_dir)
+    written(numbered(spark, sf_dir), folder)
+    return Treebank.from_blocks(folder, spark).search(NSUBJ, ordered=False, keep=("metadata",)).selectExpr(OWN_ID, "V", "N")
+
+
+def exact(spark: SparkSession, sf_dir: str, name: str) -> Treebank:
+    """By the exact reader: sentences of even number from plain files, the others from gzip, and before the
+    first word of each a multiword line, which only counts."""
+    text = numbered(spark, sf_dir)
+    with_line = F.regexp_replace("value", "\n1\t", "\n1-2\tboth\t_\t_\t_\t_\t_\t_\t_\t_\n1\t")
+    text = text.withColumn("value", with_line)
+    folder = shared_folder(spark, name, sf_dir)
+    plain = written(text.where("sent_id % 2 = 0"), f"{folder}/plain")
+    return Treebank.from_files(plain + written(text.where("sent_id % 2 = 1"), f"{folder}/gzip", "gzip"), spark)
+
+
+@query("exact_words", "SELECT sent_id, idx, idx + 1 AS word_id, idx + 1 AS token_id, form, lemma, upos, xpos, feat_number, feat_tense, misc_spaceafter, head, deprel FROM words")
+def exact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of all words, FEATS and MISC among them, and places that count multiword lines."""
+    value = lambda c, k: F.expr(f"try_element_at(filter({c}, p -> p.k = '{k}'), 1).v")
+    table = exact(spark, sf_dir, "exact-words").sentences.selectExpr(OWN_ID, "inline(words)")
+    fields = ("sent_id", "idx", "word_id", "token_id", "form", "lemma", "upos", "xpos", "head", "deprel")
+    return table.select(*fields, value("feats", "Number").alias("feat_number"), value("feats", "Tense").alias("feat_tense"), value("misc", "SpaceAfter").alias("misc_spaceafter"))
+
+
+@query("exact_sentences", "SELECT sent_id, CAST(count(*) AS INT) AS n_words, CAST(max(CASE WHEN head IS NULL THEN idx END) AS INT) AS root, 1 AS n_comments FROM words GROUP BY sent_id")
+def exact_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank = exact(spark, sf_dir, "exact-sentences")
+    return bank.sentences.selectExpr(OWN_ID, "n_words", "root", "size(metadata) AS n_comments")
+
+
+@query("exact_search", f"SELECT x.*, v.lemma AS \"V_lemma\" FROM ({NSUBJ_SQL} AND v.feat_tense = 'Past') x JOIN words v ON v.sent_id = x.sent_id AND v.idx = x.\"V\"")
+def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = 'MATCH { V [upos="VERB" & feats.Tense="Past"]; N [upos="NOUN"]; V -[nsubj]-> N; }'
+    found = exact(spark, sf_dir, "exact-search").search(text, ordered=False, fields={"V": ["lemma"]}, keep=("metadata",))
+    return found.selectExpr(OWN_ID, "V", "N", "V_lemma")
+
+
+@query("exact_list", "SELECT upos, coalesce(misc_spaceafter, 'Yes') AS space_after, 2 * count(*) AS n FROM words GROUP BY 1, 2")
+def exact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of paths, each twice."""
+    paths = written(numbered(spark, sf_dir), shared_folder(spark, "exact-list", sf_dir), "gzip")
+    words_ = Treebank.from_files(paths + paths, spark).words
+    space = F.coalesce(F.expr("try_element_at(filter(misc, p -> p.k = 'SpaceAfter'), 1).v"), F.lit("Yes"))
+    return words_.groupBy("upos", space.alias("space_after")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "exact_errors",
+    """SELECT 'line 2: Invalid HEAD: x' AS fault, count(DISTINCT sent_id) AS n FROM words WHERE sent_id % 7 = 0 AND sent_id % 2 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'line 2: Empty nodes are not supported: 1.1', count(DISTINCT sent_id) FROM words WHERE sent_id % 7 = 0 AND sent_id % 2 = 1 HAVING count(*) > 0
+UNION ALL SELECT NULL, count(DISTINCT sent_id) FROM words WHERE sent_id % 7 <> 0 HAVING count(*) > 0""",
+)
+def exact_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PERMISSIVE: faults stand as rows, what follows them is read."""
+    text = numbered(spark, sf_dir)
+    head = F.regexp_replace("value", "(\n1\t(?:[^\t]*\t){5})[0-9]+", "$1x")
+    empty = F.regexp_replace("value", "\n1\t", "\n1.1\t")
+    faulty = F.when(F.expr("sent_id % 7 <> 0"), F.col("value")).when(F.expr("sent_id % 2 = 0"), head).otherwise(empty)
+    paths = written(text.withColumn("value", faulty), shared_folder(spark, "exact-errors", sf_dir))
+    found = Treebank.from_files(paths, spark).source()
+    fault = F.regexp_replace(F.regexp_extract("_error", "Parse error at (line [0-9]+: .*)", 1), "^line [0-9]+", "line 2")
+    return found.groupBy(F.when(F.col("_error").isNotNull(), fault).alias("fault")).agg(F.count("*").alias("n"))
+
+
+@query("stream_search", NSUBJ_SQL)
+def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search on a stream of files, run until it has seen all that are there."""
+    folder = shared_folder(spark, "stream", sf_dir)
+    written(numbered(spark, sf_dir), f"{folder}/in")
+    found = search_stream(spark, f"{folder}/in", NSUBJ, keep=("metadata",)).selectExpr(OWN_ID, "V", "N")
+    run = f"{folder}/run-{uuid.uuid4().hex}"
+    found.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{run}/state").start(f"{run}/out").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{run}/out")
 
 
 # tests of one word
@@ -133,9 +229,9 @@ for _name, _test, _where in (
 _CHILD = "(SELECT 1 FROM words c WHERE c.sent_id = w.sent_id AND c.head = w.idx{})"
 for _name, _edge, _where in (
     ("has_head", "_ -> W;", "w.head IS NOT NULL"),
-    ("has_head_label", "_ -[obj]-> W;", "w.head IS NOT NULL AND w.deprel = 'obj'"),
+    ("has_head_label", "_ -[conj]-> W;", "w.head IS NOT NULL AND w.deprel = 'conj'"),
     ("no_head", "_ !-> W;", "w.head IS NULL"),
-    ("no_head_label", "_ !-[obj]-> W;", "NOT (w.head IS NOT NULL AND w.deprel = 'obj')"),
+    ("no_head_label", "_ !-[conj]-> W;", "NOT (w.head IS NOT NULL AND w.deprel = 'conj')"),
     ("has_child", "W -> _;", f"EXISTS {_CHILD.format('')}"),
     ("has_child_label", "W -[aux:pass]-> _;", f"EXISTS {_CHILD.format(" AND c.deprel = 'aux:pass'")}"),
     ("no_child", "W !-> _;", f"NOT EXISTS {_CHILD.format('')}"),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import glob
 import json
+import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .nav import Tree
@@ -65,7 +67,16 @@ class Treebank:
 
     @classmethod
     def from_glob(cls, pattern: str, spark: SparkSession | None = None) -> Treebank:
-        return cls.from_files(sorted(glob.glob(pattern, recursive=True)), spark)
+        """From the files that match, sorted; with a scheme Spark lists them, else this machine."""
+        if "://" not in pattern:
+            return cls.from_files(sorted(glob.glob(pattern, recursive=True)), spark)
+        try:
+            found = session(spark).read.format("binaryFile").load(pattern).select("path").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = []
+        return cls.from_files(sorted(r["path"].replace("file:/", "file:///", 1) if re.match("file:/[^/]", r["path"]) else r["path"] for r in found), spark)
 
     @classmethod
     def from_blocks(cls, path: str | list[str], spark: SparkSession | None = None) -> Treebank:
@@ -152,7 +163,10 @@ class Treebank:
             yield Tree(r), {v: r[n] for v, n in zip(pattern.names, names, strict=True) if r[n] is not None}
 
     def source(self) -> DataFrame:
-        return self.sentences if self._permissive is None else self._permissive
+        """What iteration reads: sentences with their words, which flat tables are gathered into."""
+        if self._permissive is not None:
+            return self._permissive
+        return self.sentences if "words" in self.sentences.columns else nest(self.words, self.sentences)
 
     def with_faults(self, found: DataFrame) -> DataFrame:
         if self._permissive is None:
