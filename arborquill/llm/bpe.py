@@ -10,7 +10,8 @@ The word table is per task, not of the whole corpus: see the README for what a g
 Edge cases: a null text is empty, and an empty text has no ids and decodes to an empty text; strings
 of special tokens within a text are those tokens, as in the tokenizers library; an id outside the
 vocabulary decodes to nothing. Rows are independent, so ties, repeated rows and empty tables need
-nothing special; a very long text is a block of its own.
+nothing special; a very long text is a block of its own. Another tokenizer must split at white space, too,
+and join its pieces by spaces; one with a decoder is refused.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ def load(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
+    if tokenizer.decoder is not None:
+        raise ValueError(f"{path}: a tokenizer with a decoder of its own keeps white space in its pieces, which splitting at it would lose")
     return tokenizer
 
 

@@ -6,7 +6,8 @@ token of a bit matches byte c; ``S``: a star loops on it), with the carry betwee
 and the states of a whole batch of URLs advance together as one numpy matrix.
 
 Globs are matched against the *canonical URL*, host (A-Z lower-cased) followed by path, from its first
-byte to its last. ``*`` stands for any bytes but ``/``, ``**`` for any bytes, ``?`` for one byte.
+byte to its last. ``*`` stands for any bytes but ``/``, ``**`` for any bytes, ``?`` for one character: its
+first byte moves on, and the bytes that continue it stay.
 
 Edge cases: a null URL or one without ``://`` has empty host and path; such a URL fits no list rule
 and is judged by the globs, which an empty canonical URL doesn't match, so it's allowed. Rows are
@@ -29,6 +30,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 GLOBS = ("**casino**", "**free-bets**", "**freebets**", "**jackpot**", "**viagra**", "**xxx-**", "*porn*/**", "**cheap-pills**", "**spam-farm**", "adult-*/**", "*.adult-*/**", "**/wp-login.ph?")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLASH = 47
+#: Bytes of UTF-8 that don't begin a character.
+CONTINUING = slice(0x80, 0xC0)
 
 
 def tokens(glob: str) -> list[tuple[int | None, str]]:
@@ -66,7 +69,12 @@ class Automaton:
                         self.loop[SLASH, w] &= ~one
                 if byte != -1:
                     w, one = (bit + k + 1) // 64, np.uint64(1 << (bit + k + 1) % 64)
-                    self.enter[slice(None) if byte is None else byte, w] |= one
+                    if byte is None:
+                        self.enter[:, w] |= one
+                        self.enter[CONTINUING, w] &= ~one
+                        self.loop[CONTINUING, w] |= one
+                    else:
+                        self.enter[byte, w] |= one
             bit += len(parts)
             self.accept.append(((bit - 1) // 64, np.uint64(1 << (bit - 1) % 64)))
 

@@ -55,3 +55,10 @@ def test_table_that_starts_anew(spark, rows, monkeypatch):
 
     texts = [t or "" for _, t in rows[:80]]
     assert [x.as_py() for t in texts for x in words.encode(pa.array([t]))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokenizers_that_keep_white_space_are_refused(spark):
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="decoder of its own"):
+        bpe.load(public_tokenizers.path("byte_bpe_50k.json"))

@@ -10,7 +10,7 @@ def glob_matches(glob, text):
     out = ""
     for part in re.findall(r"\*\*|\*|\?|[^*?]+", glob):
         out += {"**": r"[\s\S]*", "*": r"[^/]*", "?": r"[\s\S]"}.get(part) or re.escape(part)
-    return re.fullmatch(out.encode(), text.encode()) is not None
+    return re.fullmatch(out, text) is not None
 
 
 def judged(url):
@@ -27,7 +27,7 @@ def judged(url):
 
 def texts():
     rnd = random.Random(3)
-    parts = ["http://", "https://", "://", "www.", "example.com", "EXAMPLE.com", "net", "casino", "porn", "/", "/en/", "/es/", "?", "#", "x", ".", "adult-a", "é", "\n", "wp-login.php", "jackpot", "free-bets", "xxx-", "com", ":80", "//"]
+    parts = ["http://", "https://", "://", "www.", "example.com", "EXAMPLE.com", "net", "casino", "porn", "/", "/en/", "/es/", "?", "#", "x", ".", "adult-a", "é", "\n", "wp-login.php", "wp-login.ph", "wp-login.phé", "jackpot", "free-bets", "xxx-", "com", ":80", "//"]
     made = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 8))) for _ in range(3000)]
     return [None, "", "no scheme", "http://", "https://WWW.Example.COM/en/x?y#z", "http://a.net/es/", "http://net/fr/x", "http://xnet/fr/x", "http://example.com/EN/", "http://h/" + "a/" * 3000 + "casino", *made]
 
@@ -48,7 +48,7 @@ def test_as_tried_one_by_one(spark):
 def test_many_rules_fill_several_words():
     rnd = random.Random(4)
     globs = ["".join(rnd.choice(["a", "b", "*", "**", "?", "/"]) for _ in range(rnd.randint(1, 9))) for _ in range(120)]
-    urls = ["".join(rnd.choice("ab/") for _ in range(rnd.randint(0, 10))) for _ in range(300)]
+    urls = ["".join(rnd.choice("ab/é😀") for _ in range(rnd.randint(0, 10))) for _ in range(300)]
     automaton = url_filter.Automaton(globs)
     assert automaton.words > 3
     hit = automaton.match([u.encode() for u in urls])
