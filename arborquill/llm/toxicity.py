@@ -3,8 +3,8 @@
 A word's bag is the word itself and its character n-grams (3 to 5, with ``<`` and ``>`` around it),
 hashed into ``BUCKETS``. A text's vector is the mean of the embeddings of all its words' bags; a
 linear softmax over two classes scores it. Embeddings and softmax are trained together by Adagrad,
-in numpy, on a bounded sample of labelled rows: ``SAMPLE`` rows, a third of label 1 at most, those
-with the smallest hash of their id; the bias is then moved from the sample's share of label 1 to that
+in numpy, on a bounded sample of labelled rows: ``SAMPLE`` rows with ``ENTRIES`` entries, a third of
+label 1 at most, those with the smallest hash of their id; the bias is then moved from the sample's share of label 1 to that
 of all rows learnt from. The mean counts ``PADDING`` zero vectors, too, so that a few unseen words
 can't decide a very short text. A misspelling shares most n-grams with the word it's made from.
 
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, sliced
+from .common import durable, keyed, sliced
 
-#: Labelled rows to learn from, at most: the documented bound of the fit.
-SAMPLE = 6000
+#: Labelled rows to learn from, and entries (a bucket of a text) that these may have in sum: the documented
+#: bounds of the fit. Rows beyond the entries, in the order of their ids' hash, are left out of the sample.
+SAMPLE, ENTRIES = 6000, 20_000_000
 BUCKETS, DIMENSIONS, EPOCHS, RATE, BATCH, DAMPING, PADDING = 1 << 17, 8, 8, 0.5, 64, 1e-5, 100
 SHORT, LONG = 3, 5
 THRESHOLD = 0.3
@@ -140,7 +141,7 @@ def bucket_of(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """Learn from labelled rows whose crc32(id as text) mod 4 is not 2."""
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     named = named.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (bucket_of(F.col("id")) != 2))
@@ -149,7 +150,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = [named.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most[k]) for k in (0, 1)]
     # sample rows of two numbers at most, so a broadcast is bounded
     picked = keyed(docs, id_col, text_col).join(F.broadcast(chosen[0].unionAll(chosen[1])), "id").select("id", "text", "label")
-    found = bags_of(picked).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    bags = durable(bags_of(picked))
+    rank = F.xxhash64("id")
+    sizes = sorted(bags.select(rank, F.size("buckets")).collect())  # sample rows of two numbers
+    ends = np.cumsum([n for _, n in sizes])
+    if len(sizes) and ends[-1] > entries:
+        bags = bags.where(rank < sizes[int(np.searchsorted(ends, entries, "right"))][0])
+    found = bags.toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     truth = np.array(found.column("label").to_pylist(), np.int64)
     if len(set(truth)) < 2:
         share = float(truth.mean()) if len(truth) else 0.0

@@ -55,3 +55,12 @@ def test_edges(spark):
     always = toxicity.train(docs, spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, toxic int"))
     assert all(r["predicted"] == 1 for r in toxicity.score_toxicity(docs, always).collect()) and toxicity.keep_clean(docs, always).count() == 0
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_entries_bound_the_sample(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 2000")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("doc_id < 2000")
+    some = toxicity.train(docs, labels, sample=300, entries=30_000)
+    whole, same = (toxicity.train(docs, labels, sample=300, entries=n) for n in (10**9, 10**8))
+    assert (whole.weights == same.weights).all() and (some.weights != whole.weights).any()
+    assert not toxicity.train(docs, labels, sample=300, entries=0).weights.any()
