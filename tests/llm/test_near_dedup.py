@@ -80,3 +80,23 @@ def test_ties(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "a b c d"), (None, "quite another text here"), (None, "quite another text here"), (3, None), (4, ""), (5, "x"), (5, "y")]
     kept = [tuple(r) for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(kept, key=str) == sorted([(1, "a b c d"), (None, "quite another text here"), (3, None), (5, "x"), (5, "y")], key=str)
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Groups in which pairs are on both sides of the limit, so that pivots don't suffice; small blocks and slices."""
+    monkeypatch.setattr(near_dedup, "QUERIES", 4)
+    monkeypatch.setattr(near_dedup, "SLICE", 7)
+    monkeypatch.setattr(near_dedup, "ROUNDS", (1, 20))
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(3):
+        words = [f"w{rnd.randrange(10**5)}" for _ in range(120)]
+        for _ in range(60):
+            edited = list(words)
+            for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 7, 9, 12])):
+                edited[rnd.randrange(len(edited))] = f"e{rnd.randrange(10**6)}"
+            texts.append(" ".join(edited))
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in kept.collect()) == firsts(rows)
