@@ -195,3 +195,17 @@ def test_links_as_brute_force(spark):
                 end = w[2]
         want = sorted([(a, k, b) for k, a, b in base] + [(a, f"weak_{p}", b) for p, a, b in kept])
         assert sorted((int(a), k, int(b)) for k, a, b in (x.split(":") for x in got[i].split(",") if x)) == want, text
+
+
+def test_redaction_of_long_texts(spark):
+    long = ("é😀" * 3000 + " a@b.co " + "x" * 4090 + " +1 (988) 555-2485 tail 10.0.0.1") * 3
+    rows = [(1, long), (2, None), (3, ""), (4, "a@b.co"), (5, "no data"), (6, "+1 4111 1111 1111 1111")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(frame, pii.train(frame)).collect()}
+    for i, text in rows:
+        out, at = "", 0
+        for k, a, b in sorted(spans(PII, text or "", True), key=lambda x: (x[1], x[2])):
+            if a >= at:
+                out += (text or "")[at:a] + f"[{k}]"
+            at = max(at, b)
+        assert got[i] == out + (text or "")[at:], i
