@@ -37,6 +37,8 @@ SHINGLE, NEAR = 5, (4, 5)
 BANDS, ROWS = 20, 3
 #: The rounds' bands end at these; nodes in a block of queries, and in a slice of a bucket, about.
 ROUNDS, QUERIES, SLICE = (4, 10, 20), 256, 1024
+#: Edges up to which groups are joined in one task.
+FEW = 1_000_000
 CACHE = 400_000
 BASE, MIX = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93)
 _RANDOM = np.random.default_rng(42)
@@ -196,15 +198,15 @@ def links(nodes: DataFrame, texts) -> DataFrame:
     for end in ROUNDS:
         rows = durable(named(met.where(F.col("band").between(begin, end - 1))))
         pivot = F.min(F.struct(F.xxhash64("node", "band").alias("rank"), "node", "n", "root")).alias("x")
-        pivots = durable(rows.groupBy("band", "key").agg(pivot).selectExpr("band", "key", "x.node AS b", "x.n AS m", "x.root AS other"))
+        pivots = rows.groupBy("band", "key").agg(pivot).selectExpr("band", "key", "x.node AS b", "x.n AS m", "x.root AS other")
         tried = rows.join(pivots.hint("merge"), ["band", "key"]).where("root <> other").where(fits("n", "m")).selectExpr("node AS a", "b").distinct()
         found = similar(tried, of)
         edges = durable(found if edges is None else edges.unionAll(found))
-        roots = durable(components(edges))
+        roots = durable(components(edges, FEW))
         begin = end
     # pairs alone in their buckets have been compared
     rows = durable(named(met.where("many > 2")))
-    sizes = durable(rows.groupBy("band", "key", "root").count())
+    sizes = rows.groupBy("band", "key", "root").count()
     buckets = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "root")).alias("x"), F.sum("count").alias("many")).where("x.count < many")
     buckets = durable(buckets.selectExpr("band", "key", "x.root AS main", f"cast(ceil((many - x.count) / {QUERIES}) AS int) AS blocks", f"cast(ceil(many / {SLICE}) AS int) AS slices"))
     rows = rows.drop("many").join(buckets.hint("merge"), ["band", "key"])
@@ -229,7 +231,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         wanted = nodes.join(some, "node", "left_semi").select("node", F.col("least").alias("id"))
         return keyed(source, "id", "text", binary=True).join(wanted, "id").select("node", "text").dropDuplicates(["node"])
 
-    roots = components(links(nodes.select("node", "n", "bands"), texts)).withColumnRenamed("node", "of")
+    roots = components(links(nodes.select("node", "n", "bands"), texts), FEW).withColumnRenamed("node", "of")
     of = nodes.join(roots, nodes["node"] == roots["of"], "left").select(F.coalesce("root", "node").alias("root"), "least")
     stay = of.groupBy("root").agg(F.min("least").alias("key_"))
     kept = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), key.alias("key"))

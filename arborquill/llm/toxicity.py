@@ -3,7 +3,7 @@
 A word's bag is the word itself and its character n-grams (3 to 5, with ``<`` and ``>`` around it),
 hashed into ``BUCKETS``. A text's vector is the mean of the embeddings of all its words' bags; a
 linear softmax over two classes scores it. Embeddings and softmax are trained together by Adagrad,
-in numpy, on a bounded sample of labelled rows: ``SAMPLE`` rows with ``ENTRIES`` entries, a third of
+in numpy, in one task, on a bounded sample of labelled rows: ``SAMPLE`` rows with ``ENTRIES`` entries, a third of
 label 1 at most, those with the smallest hash of their id; the bias is then moved from the sample's share of label 1 to that
 of all rows learnt from. The mean counts ``PADDING`` zero vectors, too, so that a few unseen words
 can't decide a very short text. A misspelling shares most n-grams with the word it's made from.
@@ -113,6 +113,21 @@ def fit(labels: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray],
     return (table @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
+def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all bags, in one task: the weights and the bias of the fit, how many rows there are and how many of label 1."""
+    rows = []
+    for batch in batches:
+        ids, labels = batch.column("id").to_pylist(), batch.column("label").to_pylist()
+        rows += zip(ids, labels, *([np.asarray(x.values) for x in batch.column(c)] for c in ("buckets", "shares")), strict=True)
+    rows.sort(key=lambda r: r[:2])
+    truth = np.array([r[1] for r in rows], np.int64)
+    weights, bias = fit(truth, [r[2] for r in rows], [r[3] for r in rows]) if len(set(truth)) == 2 else (np.empty(0), 0.0)
+    n, ones, batch = len(truth), int(truth.sum()), None
+    rows.clear()
+    pa.default_memory_pool().release_unused()  # the worker lives on
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias]), pa.array([n], pa.int64()), pa.array([ones], pa.int64())], ["weights", "bias", "n", "ones"])
+
+
 class Model:
     """Each bucket's logit and the bias: what is left of embeddings and softmax for scoring."""
 
@@ -156,15 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ends = np.cumsum([n for _, n in sizes])
     if len(sizes) and ends[-1] > entries:
         bags = bags.where(rank < sizes[int(np.searchsorted(ends, entries, "right"))][0])
-    found = bags.toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    truth = np.array(found.column("label").to_pylist(), np.int64)
-    if len(set(truth)) < 2:
-        share = float(truth.mean()) if len(truth) else 0.0
-        return Model(np.zeros(BUCKETS), 60.0 if share == 1 else -60.0)
-    split = lambda c: [np.asarray(x.values) for x in found.column(c)]
-    weights, bias = fit(truth, split("buckets"), split("shares"))
-    shift = np.log(total[1] / total[0]) - np.log(truth.sum() / (len(truth) - truth.sum()))
-    return Model(weights, bias + float(shift))
+    # the sample stays with the executors: the driver gets the weights
+    found = bags.coalesce(1).mapInArrow(fitted, "weights binary, bias double, n bigint, ones bigint").collect()
+    weights, bias, n, ones = found[0] if found else (None, 0.0, 0, 0)
+    if not 0 < ones < n:
+        return Model(np.zeros(BUCKETS), 60.0 if ones else -60.0)
+    shift = np.log(total[1] / total[0]) - np.log(ones / (n - ones))
+    return Model(np.frombuffer(weights, np.float64), bias + float(shift))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

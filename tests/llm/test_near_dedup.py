@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 
 import corpus_pipeline
-from arborquill.llm import near_dedup, simhash
+from arborquill.llm import graph, near_dedup, simhash
 
 
 def grams(text):
@@ -100,3 +100,21 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     rows = list(enumerate(texts))
     kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert sorted(r["doc_id"] for r in kept.collect()) == firsts(rows)
+
+
+def test_jobs_are_few(spark):
+    """The driver keeps something of each job: in the check it grew beyond its memory over those of the rounds."""
+    rows = spark.createDataFrame(copies(3), "doc_id long, text string").repartition(4)
+    at = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = at()
+    near_dedup.keep_one(rows).count()
+    assert (jobs := at() - before) < 110, jobs
+
+
+def test_groups_in_one_task_are_those_of_rounds(spark):
+    rnd = random.Random(4)
+    ends = [(rnd.randbytes(2), rnd.randbytes(2)) for _ in range(30_000)] + [(bytes([0, i]), bytes([0, i + 1])) for i in range(255)] + [(b"zzz", b"zzz"), (b"a", b"b"), (b"b", b"a")]
+    for edges in (ends[20_000:], ends[29_990:], ends[:0]):
+        frame = spark.createDataFrame(edges, "a binary, b binary")
+        few, many = (sorted((bytes(r["node"]), bytes(r["root"])) for r in graph.components(frame, n).collect()) for n in (10**6, len(edges) // 2))
+        assert few == many and len(few) == len({x for e in edges if e[0] != e[1] for x in e})

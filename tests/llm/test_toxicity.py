@@ -64,3 +64,17 @@ def test_entries_bound_the_sample(spark):
     whole, same = (toxicity.train(docs, labels, sample=300, entries=n) for n in (10**9, 10**8))
     assert (whole.weights == same.weights).all() and (some.weights != whole.weights).any()
     assert not toxicity.train(docs, labels, sample=300, entries=0).weights.any()
+
+
+def test_sample_is_not_sent_to_the_driver(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").where("doc_id < 500") for t in ("documents", "labels"))
+    rows = []
+
+    def counted(self, collect=type(docs).collect):
+        found = collect(self)
+        rows.extend(x for r in found for x in r if isinstance(x, list))
+        return found
+
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("the sample was gathered"))
+    monkeypatch.setattr(type(docs), "collect", counted)
+    assert toxicity.train(docs, labels, sample=300).weights.any() and not rows
