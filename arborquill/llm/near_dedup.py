@@ -1,14 +1,16 @@
-"""Near-duplicates by Jaccard similarity: MinHash bands propose, exact sets of shingles decide.
+"""Near-duplicates by Jaccard similarity: SimHash and MinHash bands propose, exact sets of shingles decide.
 
 A text is the set of its shingles of ``SHINGLE`` words (ASCII lower case; all words of a shorter text),
 as 64-bit hashes. Two texts link if their sets' Jaccard similarity is at least ``NEAR`` (4/5, compared in
 integers); a group is all that is linked, directly or over others.
 
-Candidates share one of ``BANDS`` bands of ``ROWS`` MinHashes: two texts of similarity s share none with
-probability (1 - s^3)^20, which is 5.9e-7 at 0.8. Texts of equal sets (128-bit hash) are one node.
+Candidates are, first, all texts whose SimHash fingerprints (the operator's, see simhash.py) are equal or at
+most two bits apart: they meet in a bucket of a point that both name. Most near copies are further apart, so
+candidates are, too, those that share one of ``BANDS`` bands of ``ROWS`` MinHashes: two texts of similarity s
+share none with probability (1 - s^3)^20, which is 5.9e-7 at 0.8. Texts of equal sets (128-bit hash) are one node.
 
 No pairs are made within a bucket.
-1. In rounds over more and more bands, each node is compared with one pivot of each of its buckets, another
+1. In rounds over more and more bands, SimHash's points in the first, each node is compared with one pivot of each of its buckets, another
    one in each band, unless they're of one group already. So what is similar to a fair share of a bucket
    joins its group, and rows are linear in the buckets.
 2. Buckets whose nodes are now of one group, or a pair that was compared, need nothing more. In the others
@@ -32,11 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import durable, keyed, sliced
 from .graph import components
+from .simhash import fingerprint, points
 
 SHINGLE, NEAR = 5, (4, 5)
 BANDS, ROWS = 20, 3
 #: The rounds' bands end at these; nodes in a block of queries, and in a slice of a bucket, about.
 ROUNDS, QUERIES, SLICE = (4, 10, 20), 256, 1024
+#: The number of SimHash's points among the bands.
+SIMHASH = -1
 #: Edges up to which groups are joined in one task.
 FEW = 1_000_000
 CACHE = 400_000
@@ -94,21 +99,22 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sets(df: DataFrame) -> DataFrame:
-    """Of id and text: id, node (128-bit hash of the set), n (its size) and bands."""
+    """Of id and text: id, node (128-bit hash of the set), n (its size), bands and fp, SimHash's fingerprint."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
         for batch in sliced(batches):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, marks = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, cache)
                 nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(len(found))
                 keys.append(bands(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "n", "bands"])
+                marks.append(fingerprint(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(marks, np.uint64).view(np.int64))], ["id", "node", "n", "bands", "fp"])
 
     rows = keyed(df, "id", "text", binary=True)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node binary, n bigint, bands array<bigint>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node binary, n bigint, bands array<bigint>, fp bigint")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,17 +184,26 @@ def within(rows: DataFrame) -> DataFrame:
     return rows.select("group", "node", "root", "query", "text").mapInArrow(run, "a binary, b binary")
 
 
-def links(nodes: DataFrame, texts) -> DataFrame:
-    """From distinct node, n and bands: edges (a, b) whose components are those of all similar candidates.
+def met_by_simhash(marks: DataFrame) -> DataFrame:
+    """From distinct node, n and fp: node, n, and as key the points in which all nodes at most two bits apart meet."""
+    near_by = points(marks.select("fp").distinct()).where("fp <> point").select("fp", "point")
+    own = marks.select("node", "n", F.col("fp").alias("key"))
+    return own.unionAll(marks.join(near_by, "fp").select("node", "n", F.col("point").alias("key"))).distinct()
+
+
+def links(nodes: DataFrame, marks: DataFrame, texts) -> DataFrame:
+    """From distinct node, n and bands, and distinct node, n and fp: edges (a, b) whose components are those of all
+    similar candidates.
 
     ``texts`` gives node and text of the nodes of a DataFrame.
     """
     keys = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    keys = keys.unionAll(durable(met_by_simhash(marks)).select("node", "n", F.lit(SIMHASH).alias("band"), "key"))
     shared = durable(keys.groupBy("band", "key").count().where("count > 1"))
     met = durable(keys.join(shared.hint("merge"), ["band", "key"]).select("band", "key", "node", "n", F.col("count").alias("many")))
     of = durable(texts(met.select("node").distinct()))
     fits = lambda a, b: f"{NEAR[1]} * least({a}, {b}) >= {NEAR[0]} * greatest({a}, {b})"
-    edges, roots, begin = None, None, 0
+    edges, roots, begin = None, None, SIMHASH
 
     def named(rows: DataFrame) -> DataFrame:
         if roots is None:
@@ -231,7 +246,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         wanted = nodes.join(some, "node", "left_semi").select("node", F.col("least").alias("id"))
         return keyed(source, "id", "text", binary=True).join(wanted, "id").select("node", "text").dropDuplicates(["node"])
 
-    roots = components(links(nodes.select("node", "n", "bands"), texts), FEW).withColumnRenamed("node", "of")
+    roots = components(links(nodes.select("node", "n", "bands"), rows.select("node", "n", "fp").distinct(), texts), FEW).withColumnRenamed("node", "of")
     of = nodes.join(roots, nodes["node"] == roots["of"], "left").select(F.coalesce("root", "node").alias("root"), "least")
     stay = of.groupBy("root").agg(F.min("least").alias("key_"))
     kept = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), key.alias("key"))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, keyed, sliced
@@ -80,23 +80,36 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> BITS - 1 else x
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """From distinct fp: edges (a, b) whose components are those of all pairs within the radius (1 or 2)."""
-    if radius not in (1, 2):
-        raise ValueError("radius 1 or 2")
+def flipped(fps: DataFrame, radius: int) -> tuple[DataFrame, Column]:
+    """From distinct fp: those that share a bucket, and their neighbours at one flip of the bits left out there."""
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))))
     rows = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
     shared = rows.groupBy("t", "key").count().where("count > 1").select("t", "key")
     left_out = F.array(*(F.lit(~m) for m in masks(radius)))
     met = rows.join(shared, ["t", "key"]).groupBy("fp").agg(F.bit_or(F.element_at(left_out, F.col("t") + 1)).alias("free"))
     flips = F.expr("transform(filter(sequence(0, 63), b -> (shiftright(free, b) & 1L) = 1L), b -> fp ^ shiftleft(1L, b))")
+    return met, flips
+
+
+def points(fps: DataFrame) -> DataFrame:
+    """From distinct fp: fp, each point that it shares with another, and b, the least that names the point. Two
+    that are at most two bits apart share a point, and no others do."""
+    met, flips = flipped(fps, 2)
+    named = met.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
+    least = named.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top")
+    return named.join(least, "point")
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """From distinct fp: edges (a, b) whose components are those of all pairs within the radius (1 or 2)."""
+    if radius not in (1, 2):
+        raise ValueError("radius 1 or 2")
     if radius == 1:
+        met, flips = flipped(fps, radius)
         # points at one flip from one of the two only: the one names them, the other is one
         named = met.select("fp", F.explode(flips).alias("b"))
         return named.join(fps.select(F.col("fp").alias("b")), "b", "left_semi").select(F.col("fp").alias("a"), "b")
-    named = met.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
-    least = named.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top")
-    return named.join(least, "point").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
+    return points(fps).select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

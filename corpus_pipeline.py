@@ -5,7 +5,8 @@ columns of documents. ``run`` checkpoints in between; a caller may write each st
 them again instead.
 
 Near-duplicates have a Jaccard similarity of at least 0.8 between their sets of five-word shingles. The
-SimHash operator's contract (two of 64 bits) misses most of these, so the stage has its own search.
+SimHash operator's contract (two of 64 bits) misses most of these, so after SimHash's links the stage searches
+on by MinHash bands, and candidates of either are checked exactly.
 
 Edge cases: null and empty texts pass the first two stages, are copies of each other for the third, and
 have no ids; empty tables give empty results. Columns beside doc_id and text are carried along.

@@ -118,3 +118,46 @@ def test_groups_in_one_task_are_those_of_rounds(spark):
         frame = spark.createDataFrame(edges, "a binary, b binary")
         few, many = (sorted((bytes(r["node"]), bytes(r["root"])) for r in graph.components(frame, n).collect()) for n in (10**6, len(edges) // 2))
         assert few == many and len(few) == len({x for e in edges if e[0] != e[1] for x in e})
+
+
+def test_simhash_proposes(spark):
+    """Without any MinHash band: just those within two bits are found, and of them just those that are similar."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), "q w e r t y u i o p"]
+    rnd = random.Random(5)
+    for _ in range(60):
+        edited = list(words)
+        for _ in range(rnd.choice([1, 1, 2, 6])):
+            edited[rnd.randrange(len(edited))] = f"e{rnd.randrange(10**6)}"
+        texts.append(" ".join(edited))
+    texts += ["a " * 200 + x for x in ("", "v1 v2 v3 v4", "v5 v6 v7 v8 v9")]  # one fingerprint, sets that differ
+    source = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = near_dedup.durable(near_dedup.sets(source))
+    of = {r["id"]: (bytes(r["node"]), r["fp"]) for r in rows.collect()}
+    assert [fp % (1 << 64) for _, fp in (of[i] for i in range(len(texts)))] == [simhash.fingerprint(t.encode()) for t in texts]
+    nodes = rows.selectExpr("node", "n", "cast(array() AS array<bigint>) AS bands")
+    found = near_dedup.links(nodes, rows.select("node", "n", "fp").distinct(), lambda some: rows.join(source, "id").join(some, "node", "left_semi").selectExpr("node", "cast(text AS binary) AS text"))
+    got = {bytes(r["node"]): bytes(r["root"]) for r in graph.components(found).collect()}
+    sets = [grams(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if ((of[a][1] ^ of[b][1]) % (1 << 64)).bit_count() <= 2:
+                if jaccard(sets[a], sets[b]) >= Fraction(4, 5):
+                    parent[root(a)] = root(b)
+                else:
+                    far += 1
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(root(i), set()).add(of[i][0])
+    groups = {}
+    for n, r in got.items():
+        groups.setdefault(r, set()).add(n)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1) and groups and far
