@@ -168,9 +168,7 @@ def search_sentences(
     needed = fields_needed([pattern.match, *pattern.excepts, *pattern.optionals]).union(*fields.values())
     if paths:
         needed.add("head")
-    words = zipped(needed)
-    if not pattern.match.variables:  # a generator, which no filter is pushed through
-        words = F.explode(F.array(words))
+    words = F.explode(F.array(zipped(needed)))  # a generator, which no filter is pushed through: they're made once a sentence
     rows = sentences.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), words.alias(W))
     bound: dict[str, Word] = {}
     block = pattern.match

@@ -43,13 +43,21 @@ def fault(c: str) -> str:
     )
 
 
+def once(rows: DataFrame, name: str, value: str) -> DataFrame:
+    """rows with one column more, out of a generator: no filter is pushed through it and no use is replaced by the
+    expression, so it's found once a row, however often others name it."""
+    return rows.select("*", F.explode(F.array(F.expr(value))).alias(name))
+
+
 def parse(records: DataFrame, column: str = "value") -> DataFrame:
-    """records with text, metadata, words and _error in place of the text of a sentence."""
-    out = records.withColumn("lines", F.expr(f"filter(split(`{column}`, '\\n', -1), l -> l <> '')"))
-    out = out.withColumns({"comments": F.expr("filter(lines, l -> left(l, 1) = '#' AND instr(l, '=') > 0)"), "cells": F.expr("transform(filter(lines, l -> left(l, 1) <> '#'), l -> split(l, '\\t', -1))")})
-    out = out.where("size(cells) > 0")
+    """records with text, metadata, words and _error in place of the text of a sentence.
+
+    Whatever is named twice, or by a search, is found ``once``: else each step multiplies the ones before it."""
+    out = once(records, "lines", f"filter(split(`{column}`, '\\n', -1), l -> l <> '')").drop(column)
+    out = once(out, "cells", "transform(filter(lines, l -> left(l, 1) <> '#'), l -> split(l, '\\t', -1))").where("size(cells) > 0")
+    out = out.withColumn("comments", F.expr("filter(lines, l -> left(l, 1) = '#' AND instr(l, '=') > 0)"))
     out = out.withColumn("pairs", F.expr("transform(comments, l -> named_struct('k', btrim(substring_index(substring(l, 2), '=', 1), ' \\t\\r'), 'v', btrim(substring(l, instr(l, '=') + 1), ' \\t\\r')))"))
-    out = out.withColumn("faults", F.expr(f"filter(transform(cells, (c, i) -> named_struct('i', i, 'm', {fault('c')})), f -> f.m IS NOT NULL)"))
+    out = once(out, "faults", f"filter(transform(cells, (c, i) -> named_struct('i', i, 'm', {fault('c')})), f -> f.m IS NOT NULL)")
     last = "filter(pairs, (p, i) -> p.k <> 'text' AND NOT exists(slice(pairs, i + 2, size(pairs)), q -> q.k = p.k))"
     head = "CASE WHEN t.c[6] IN ('0', '_') THEN NULL ELSE cast(t.c[6] AS int) - 1 END"
     value = {
@@ -57,18 +65,13 @@ def parse(records: DataFrame, column: str = "value") -> DataFrame:
         "feats": pairs("t.c[5]"), "head": head, "deprel": "t.c[7]", "misc": pairs("t.c[9]"),
     }
     word = "named_struct(" + ", ".join(f"'{k}', cast({value[k]} AS {kind})" for k, kind in WORD_FIELDS.items()) + ")"
-    out = out.withColumns(
-        {
-            "text": F.expr("try_element_at(filter(pairs, p -> p.k = 'text'), -1).v"),
-            "metadata": F.expr(f"map_from_entries({last})"),
-            "words": F.expr(f"CASE WHEN size(faults) = 0 THEN transform(filter(transform(cells, (c, i) -> named_struct('i', i, 'c', c)), t -> instr(t.c[0], '-') = 0), (t, i) -> {word}) END"),
-        }
-    )
+    out = out.withColumns({"text": F.expr("try_element_at(filter(pairs, p -> p.k = 'text'), -1).v"), "metadata": F.expr(f"map_from_entries({last})")})
+    out = once(out, "words", f"CASE WHEN size(faults) = 0 THEN transform(filter(transform(cells, (c, i) -> named_struct('i', i, 'c', c)), t -> instr(t.c[0], '-') = 0), (t, i) -> {word}) END")
     first = "concat('Parse error at line ', faults[0].i + 1, ' of its sentence: ', faults[0].m, '\\n  Line: ', array_join(cells[faults[0].i], '\\t'))"
     beyond = "exists(words, w -> w.head >= size(words))"
     out = out.withColumn("_error", F.expr(f"CASE WHEN size(faults) > 0 THEN {first} WHEN {beyond} THEN 'Parse error: Invalid HEAD' END"))
     out = out.withColumn("words", F.expr("CASE WHEN _error IS NULL THEN words END"))
-    return out.drop(column, "lines", "comments", "cells", "pairs", "faults")
+    return out.drop("lines", "comments", "cells", "pairs", "faults")
 
 
 def strict(parsed: DataFrame) -> DataFrame:
