@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from .functions.stats import collocations, frequency
 from .nav import children, displacy_table, parents
-from .schema import flatten
 from .sources.blocks import parse, strict
-from .sources.derived import WORDS_SQL, derived_sentences, to_conllu
+from .sources.derived import WORDS_SQL, derived_sentences, derived_words, to_conllu
 from .streaming import search_stream
 from .treebank import Treebank, complete
 
@@ -43,8 +42,7 @@ CHAIN = 'MATCH { V [upos="VERB"]; A [upos="NOUN"]; B [upos="NOUN"]; P [upos="ADP
 
 
 def treebank(spark: SparkSession, sf_dir: str, flat: bool = False) -> Treebank:
-    nested = derived_sentences(spark, sf_dir)
-    return Treebank(nested, flat=flat)
+    return Treebank(derived_sentences(spark, sf_dir), derived_words(spark, sf_dir), flat=flat)
 
 
 def with_words(sql: str) -> str:
@@ -79,7 +77,7 @@ def filtered(name: str, text: str, sql: str) -> None:
 @query("words", "SELECT sent_id, idx, form, lemma, upos, xpos, feat_number, feat_tense, misc_spaceafter, head, deprel FROM words")
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = lambda c, k: F.expr(f"try_element_at(filter({c}, p -> p.k = '{k}'), 1).v")
-    table = flatten(derived_sentences(spark, sf_dir))
+    table = derived_words(spark, sf_dir)
     return table.select("sent_id", "idx", "form", "lemma", "upos", "xpos", value("feats", "Number").alias("feat_number"), value("feats", "Tense").alias("feat_tense"), value("misc", "SpaceAfter").alias("misc_spaceafter"), "head", "deprel")
 
 

@@ -34,7 +34,7 @@ def nest(words: DataFrame, sentences: DataFrame | None = None) -> DataFrame:
         if k not in words.columns:
             field[k] = "cast(idx AS int)" if k == "word_id" else "cast(idx AS int) + 1"
     one = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in field.items()) + ")"
-    grouped = words.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.expr(one))).alias("words"))
+    grouped = words.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.expr(one))).alias("words"))
     if sentences is not None:
         kept = [c for c in ("sent_id", "file_no", "sent_no", "path", "text", "metadata") if c in sentences.columns]
         grouped = sentences.select(*kept).join(grouped, "sent_id", "left").withColumn("words", F.coalesce("words", F.expr(f"cast(array() AS array<{WORD}>)")))

@@ -7,39 +7,44 @@ on both sides and arcs may cross.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import PAIRS, complete
+from ..schema import PAIRS, WORD_FIELDS, nest
 
-ORDERS = ("l_linenumber", "l_partkey", "l_suppkey"), ("l_partkey", "l_suppkey", "l_linenumber")
 
+def derived_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``words``: lines meet their parts, then one shuffle by order gathers them; both orders and the heads are
+    found within an array, and all else is plain columns of the words that come out of it.
 
-def derived_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sentences``: lines meet their parts, then one shuffle by order; positions and heads are found
-    within it."""
+    What is dealt out doesn't depend on the columns that a query asks for, so that scans of one query share it."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type")
     both = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    rank = lambda names: (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*names)) - 1).cast("int")
-    both = both.select("*", rank(ORDERS[0]).alias("idx"), rank(ORDERS[1]).alias("k"))
-    deprel = """CASE WHEN k = 0 THEN 'root' WHEN l_returnflag = 'R' THEN 'case'
-        WHEN l_returnflag = 'N' THEN element_at(array('nsubj', 'obj', 'obl', 'nmod'), cast(l_partkey % 4 AS int) + 1)
-        ELSE element_at(array('xcomp', 'conj', 'aux:pass'), cast(l_partkey % 3 AS int) + 1) END"""
+    line = "struct(l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS f, l_linestatus AS t, p_name AS name, p_type AS type)"
+    found = both.groupBy(F.col("l_orderkey").alias("sent_id")).agg(F.sort_array(F.collect_list(F.expr(line))).alias("w"))
+    found = found.withColumn("by_k", F.expr("sort_array(transform(w, (x, i) -> struct(x.p AS p, x.s AS s, x.n AS n, i AS i)))"))
+    link = "struct(y.i AS i, k AS k, CASE WHEN k > 0 THEN get(by_k, cast(y.s % k AS int)).i END AS head)"
+    found = found.withColumn("links", F.expr(f"sort_array(transform(by_k, (y, k) -> {link}))"))
+    found = found.select("sent_id", "links", F.posexplode("w").alias("idx", "x")).select("sent_id", "idx", "x", F.expr("get(links, idx)").alias("link"))
     pair = lambda k, v: f"named_struct('k', '{k}', 'v', {v})"
-    tense = pair("Tense", "CASE WHEN l_linenumber % 2 = 0 THEN 'Past' ELSE 'Pres' END")
-    feats = f"concat(array({pair('Number', "CASE l_linestatus WHEN 'O' THEN 'Sing' ELSE 'Plur' END")}), CASE WHEN l_returnflag = 'A' THEN array({tense}) ELSE cast(array() AS {PAIRS}) END)"
-    misc = f"CASE WHEN l_linenumber % 4 = 0 THEN array({pair('SpaceAfter', "'No'")}) ELSE cast(array() AS {PAIRS}) END"
-    word = f"""named_struct('idx', idx, 'k', k, 'head_k', CASE WHEN k > 0 THEN cast(l_suppkey % k AS int) END,
-        'form', replace(p_name, ' ', '_'), 'lemma', split_part(p_name, ' ', 2),
-        'upos', CASE l_returnflag WHEN 'A' THEN 'VERB' WHEN 'N' THEN 'NOUN' ELSE 'ADP' END, 'xpos', p_type,
-        'feats', {feats}, 'deprel', {deprel}, 'misc', {misc})"""
-    found = both.groupBy(F.col("l_orderkey").alias("sent_id")).agg(F.array_sort(F.collect_list(F.expr(word))).alias("w"))
-    place = "transform(array_sort(transform(w, x -> named_struct('k', x.k, 'idx', x.idx))), y -> y.idx)"
-    # bound to a lambda's variable, the places are found once a sentence
-    words = f"""transform(array({place}), place -> transform(w, x -> named_struct('idx', x.idx, 'word_id', x.idx, 'token_id', x.idx + 1, 'form', x.form, 'lemma', x.lemma, 'upos', x.upos, 'xpos', x.xpos,
-        'feats', x.feats, 'head', get(place, x.head_k), 'deprel', x.deprel, 'misc', x.misc)))[0]"""
-    return complete(found.select("sent_id", F.expr(words).alias("words")).withColumns({"file_no": F.lit(0), "sent_no": F.col("sent_id").cast("int")}))
+    tense = pair("Tense", "CASE WHEN x.n % 2 = 0 THEN 'Past' ELSE 'Pres' END")
+    field = {
+        "idx": "idx", "word_id": "idx", "token_id": "idx + 1", "form": "replace(x.name, ' ', '_')", "lemma": "split_part(x.name, ' ', 2)",
+        "upos": "CASE x.f WHEN 'A' THEN 'VERB' WHEN 'N' THEN 'NOUN' ELSE 'ADP' END", "xpos": "x.type",
+        "feats": f"concat(array({pair('Number', "CASE x.t WHEN 'O' THEN 'Sing' ELSE 'Plur' END")}), CASE WHEN x.f = 'A' THEN array({tense}) ELSE cast(array() AS {PAIRS}) END)",
+        "head": "link.head",
+        "deprel": """CASE WHEN link.k = 0 THEN 'root' WHEN x.f = 'R' THEN 'case'
+            WHEN x.f = 'N' THEN element_at(array('nsubj', 'obj', 'obl', 'nmod'), cast(x.p % 4 AS int) + 1)
+            ELSE element_at(array('xcomp', 'conj', 'aux:pass'), cast(x.p % 3 AS int) + 1) END""",
+        "misc": f"CASE WHEN x.n % 4 = 0 THEN array({pair('SpaceAfter', "'No'")}) ELSE cast(array() AS {PAIRS}) END",
+    }
+    return found.selectExpr("sent_id", *(f"{field[k]} AS {k}" for k in WORD_FIELDS))
+
+
+def derived_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sentences``: the words, gathered again where they are, without another shuffle."""
+    return nest(derived_words(spark, sf_dir)).withColumns({"file_no": F.lit(0), "sent_no": F.col("sent_id").cast("int")})
 
 
 #: The same words as SQL, flat: feats and misc as one column each, null where there's none.
