@@ -16,11 +16,12 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """a, b, f12 (rows with both), f1, f2 (rows with each) and n (all rows). Rows with a null are left out.
 
     Margins are sums over distinct pairs, joined back, so that a very frequent value is a key of a join, which
-    adaptive execution splits, and of no window; the total is one row, broadcast."""
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("f12"))
-    total = pairs.agg(F.coalesce(F.sum("f12"), F.lit(0)).alias("n"))
+    adaptive execution splits, and of no window; all share the pairs' shuffle, so df is read once; the total is
+    one row, broadcast."""
+    counts = pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("f12"))
+    total = counts.agg(F.coalesce(F.sum("f12"), F.lit(0)).alias("n"))
     for column, margin in ((a, "f1"), (b, "f2")):
-        pairs = pairs.join(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(column).agg(F.count("*").alias(margin)), column)
+        pairs = pairs.join(counts.groupBy(column).agg(F.sum("f12").alias(margin)), column)
     return pairs.select(a, b, "f12", "f1", "f2").crossJoin(F.broadcast(total))
 
 

@@ -25,3 +25,13 @@ def test_words_are_derived_once(spark, name):
     scans = plan.count("collect_list(struct(n,")
     assert scans and "Window" not in plan
     assert plan.count("transform(w#") <= scans and plan.count("transform(by_k#") <= scans
+
+
+def test_counts_share_the_pairs(spark):
+    """The margins of a crosstab come from its pairs: matches are searched once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = queries.QUERIES["collocations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Generate posexplode(") == 1 and "ReusedExchange" in plan
