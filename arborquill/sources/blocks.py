@@ -18,26 +18,26 @@ NUMBER = "^[0-9]{0,9}$"
 
 def pairs(cell: str) -> str:
     one = "named_struct('k', substring_index(p, '=', 1), 'v', substring(p, instr(p, '=') + 1))"
-    return f"CASE WHEN {cell} = '_' THEN cast(array() AS {PAIRS}) ELSE transform(split({cell}, '[|]', -1), p -> {one}) END"
+    return f"CASE WHEN {cell} = '_' THEN cast(array() AS {PAIRS}) ELSE transform(split({cell}, '\\\\|', -1), p -> {one}) END"
 
 
 def fault(c: str) -> str:
     """SQL: what's wrong with the cells of a token line, or null; in the order in which cells are read."""
-    bad_pair = lambda cell: f"try_element_at(filter(split({cell}, '[|]', -1), p -> instr(p, '=') = 0), 1)"
+    bad_pair = lambda cell: f"try_element_at(filter(split({cell}, '\\\\|', -1), p -> instr(p, '=') = 0), 1)"
     missing = lambda i: f"WHEN size({c}) <= {i} THEN 'Missing field {i}'"
     return " ".join(
         [
             f"CASE WHEN instr({c}[0], '-') > 0 THEN NULL WHEN instr({c}[0], '.') > 0 THEN concat('Empty nodes are not supported: ', {c}[0])",
             f"WHEN NOT {c}[0] RLIKE '{NUMBER}' THEN concat('Invalid token ID: ', {c}[0])",
             *map(missing, range(1, 6)),
-            f"WHEN {c}[5] <> '_' AND exists(split({c}[5], '[|]', -1), p -> instr(p, '=') = 0) THEN concat('Invalid FEATS pair (missing \\'=\\'): ', {bad_pair(f'{c}[5]')})",
+            f"WHEN {c}[5] <> '_' AND exists(split({c}[5], '\\\\|', -1), p -> instr(p, '=') = 0) THEN concat('Invalid FEATS pair (missing \\'=\\'): ', {bad_pair(f'{c}[5]')})",
             missing(6),
             f"WHEN {c}[6] <> '_' AND (NOT {c}[6] RLIKE '{NUMBER}' OR {c}[6] = '' OR {c}[6] RLIKE '^00+$') THEN concat('Invalid HEAD: ', {c}[6])",
             missing(7),
             missing(8),
             f"WHEN {c}[8] <> '_' THEN 'Extended deprels not yet supported'",
             missing(9),
-            f"WHEN {c}[9] <> '_' AND exists(split({c}[9], '[|]', -1), p -> instr(p, '=') = 0) THEN concat('Invalid FEATS pair (missing \\'=\\'): ', {bad_pair(f'{c}[9]')})",
+            f"WHEN {c}[9] <> '_' AND exists(split({c}[9], '\\\\|', -1), p -> instr(p, '=') = 0) THEN concat('Invalid FEATS pair (missing \\'=\\'): ', {bad_pair(f'{c}[9]')})",
             f"WHEN size({c}) > 10 THEN 'Expected 10 fields, found more than 10' END",
         ]
     )

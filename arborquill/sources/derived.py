@@ -17,12 +17,14 @@ def derived_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``words``: lines meet their parts, then one shuffle by order gathers them; both orders and the heads are
     found within an array, and all else is plain columns of the words that come out of it.
 
-    What is dealt out doesn't depend on the columns that a query asks for, so that scans of one query share it."""
+    What is dealt out are plain rows, as gathering before it would find next to no two lines of an order; it doesn't
+    depend on the columns that a query asks for, so that scans of one query share it. Lines that tie in both orders
+    go by their other fields."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type")
     both = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     line = "struct(l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS f, l_linestatus AS t, p_name AS name, p_type AS type)"
-    found = both.groupBy(F.col("l_orderkey").alias("sent_id")).agg(F.sort_array(F.collect_list(F.expr(line))).alias("w"))
+    found = both.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("sent_id")).agg(F.sort_array(F.collect_list(F.expr(line))).alias("w"))
     found = found.withColumn("by_k", F.expr("sort_array(transform(w, (x, i) -> struct(x.p AS p, x.s AS s, x.n AS n, i AS i)))"))
     link = "struct(y.i AS i, k AS k, CASE WHEN k > 0 THEN get(by_k, cast(y.s % k AS int)).i END AS head)"
     found = found.withColumn("links", F.expr(f"sort_array(transform(by_k, (y, k) -> {link}))"))

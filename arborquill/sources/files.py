@@ -14,12 +14,12 @@ import gzip
 import io
 import itertools
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import PAIRS, SENTENCES, WORD_FIELDS
+from ..schema import PAIRS, SENTENCES, WORD, WORD_FIELDS
 from .lines import Fault, root_of, sentences
 
 FAILFAST, PERMISSIVE = "FAILFAST", "PERMISSIVE"
@@ -27,9 +27,9 @@ WITH_ERROR = SENTENCES + ", _error string"
 GZIP = b"\x1f\x8b"
 #: Sentences that go to Spark at once.
 BATCH = 500
-ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string()), PAIRS: pa.list_(pa.struct([("k", pa.string()), ("v", pa.string())]))}
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 COLUMNS = [part.split(" ", 1) for part in WITH_ERROR.split(", ")]
-KINDS = [ARROW[kind] if kind in ARROW else pa.list_(pa.struct([(k, ARROW[v]) for k, v in WORD_FIELDS.items()])) for _, kind in COLUMNS]
+WORDS = f"array<{WORD}>"
 
 
 def open_bytes(path: str):
@@ -62,12 +62,34 @@ def rows(lines, file_no: int, path: str | None) -> Iterator[tuple]:
             yield (*key, found.text, found.metadata, len(found.words), root_of(found.words), found.words, None)
 
 
+def lists(column: Sequence, items: Callable[[list], pa.Array]) -> pa.ListArray:
+    """Of lists or nulls, from their items column by column: several times as fast as from nested objects."""
+    ends = list(itertools.accumulate((0 if x is None else len(x) for x in column), initial=0))
+    missing = [x is None for x in column]
+    flat = list(itertools.chain.from_iterable(x for x in column if x))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items(flat), mask=pa.array(missing) if any(missing) else None)
+
+
+def structs(flat: list[tuple], fields: dict[str, str]) -> pa.StructArray:
+    columns = zip(*flat, strict=True) if flat else [()] * len(fields)
+    return pa.StructArray.from_arrays([array_of(c, kind) for c, kind in zip(columns, fields.values(), strict=True)], list(fields))
+
+
+def array_of(column: Sequence, kind: str) -> pa.Array:
+    """An Arrow array of values of a type that ``WITH_ERROR`` or a word has."""
+    if kind == PAIRS:
+        return lists(column, lambda flat: structs(flat, {"k": "string", "v": "string"}))
+    if kind == WORDS:
+        return lists(column, lambda flat: structs(flat, WORD_FIELDS))
+    return pa.array([None if x is None else list(x.items()) for x in column] if kind.startswith("map<") else column, ARROW[kind])
+
+
 def batches(found: Iterable[tuple], with_error: bool) -> Iterator[pa.RecordBatch]:
     """Rows of ``WITH_ERROR`` in Arrow batches, without the error if not asked for."""
     n = len(COLUMNS) - (not with_error)
     for part in itertools.batched(found, BATCH):
         columns = list(zip(*part, strict=True))[:n]
-        arrays = [pa.array([None if x is None else list(x.items()) for x in c] if isinstance(kind, pa.MapType) else c, kind) for c, kind in zip(columns, KINDS, strict=False)]
+        arrays = [array_of(c, kind) for c, (_, kind) in zip(columns, COLUMNS, strict=False)]
         yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in COLUMNS[:n]])
 
 
